@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import oracles
 from ledgerloom.llm.common import table
 from ledgerloom.llm.ngram_join import ngram_classes
+from ledgerloom.llm.token_binary import token_binary
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; LEDGERLOOM_TOKENIZERS names another folder."""
+    import os
+
+    if folder := os.environ.get("LEDGERLOOM_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +32,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_join": op10_ngram_join}
+    return {"op8_token_binary": op8_token_binary, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
