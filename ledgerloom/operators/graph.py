@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ledgerloom.storage import stored
 
@@ -16,20 +16,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     nothing but two numbers a round reaches the driver. Self loops and edges
     with a null end are ignored; an empty input gives an empty result.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-    e = stored(e.where("x and y and a <> b").select("a", "b").distinct(), "edges")
+    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (F.col(a) != F.col(b)).alias("two"))
+    e = e.where("two").select("a", "b").distinct()
     before = None
     for _ in range(max_rounds):
-        now = tuple(e.agg(F.count("*"), F.expr("cast(sum(cast(xxhash64(a, b) as decimal(38, 0))) as string)")).first())
-        if now == before:
+        seen = Observation()
+        e = stored(e.observe(seen, F.count("*").alias("n"), F.expr("cast(sum(cast(xxhash64(a, b) as decimal(38, 0))) as string)").alias("of")), "edges")
+        if seen.get == before or not seen.get["n"]:
             break
-        before = now
+        before = seen.get
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        e = small.select("e.a", "e.b").where("a <> b").distinct()
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct())
