@@ -8,9 +8,11 @@ How it stays linear where copies and shared passages abound:
 2. Two sets that reach the threshold share a shingle among their rarest
    ``n - ceil(t n) + 1`` (the prefix). Documents with the same size and prefix
    form one group.
-3. Groups that stand in one posting list are tied to the list's first group, so
-   a list of k groups makes at most k - 1 rows and never its pairs. The
-   components of these ties hold every candidate pair.
+3. Groups that stand in one posting list are candidates. A list of at most
+   ``LIST`` groups gives its pairs of fitting sizes, each once, and bitmaps of
+   the sets remove those that provably can't link. A longer list of k groups
+   gives at most k - 1 ties instead, never its pairs. The components of pairs
+   and ties hold every candidate pair.
 4. Each component's groups are expanded to their different texts, whose sets
    are read again from the documents, once each. Components are cut into
    blocks; a task gets two blocks and finds their links by exact intersection
@@ -41,6 +43,8 @@ CELL_BITS = 20
 SEEN_BITS = 23
 #: Texts of a block; a task holds two blocks.
 BLOCK = 512
+#: Groups of a posting list that gives its pairs; longer lists give ties.
+LIST = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _x64 = xxhash.xxh64_intdigest
@@ -86,12 +90,12 @@ def _text_key(words: list[bytes]) -> tuple[int, int]:
 
 
 def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
-    """Rows (doc_id, k1, k2, n, gid, prefix); prefix only where the task meets a group first."""
+    """Rows (doc_id, k1, k2, n, gid, prefix, bits); the last two only where the task meets a group first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            k1, k2, ns, gids, prefixes = [], [], [], [], []
+            k1, k2, ns, gids, prefixes, bits = [], [], [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 a, b = _text_key(words)
@@ -103,6 +107,7 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
                 if not n:
                     gids.append(None)
                     prefixes.append(None)
+                    bits.append(None)
                     continue
                 size = n - needed(n, num, den) + 1
                 order = (levels[_cells(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
@@ -111,37 +116,125 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
                 gids.append(gid)
                 if gid in seen:
                     prefixes.append(None)
+                    bits.append(None)
                 else:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(gid)
                     prefixes.append(p.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "gid", "prefix"])
+                    bits.append(_signature(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "k1", "k2", "n", "gid", "prefix", "bits"])
 
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, gid) sorted by token: a spanning forest of 'stands in one list'."""
-    forest, last_t, last_g = Forest(), None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t, g = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if last_t == t[0]:
-            forest.join(int(last_g), int(g[0]))
-        for i in np.flatnonzero((t[1:] == t[:-1]) & (g[1:] != g[:-1])).tolist():
-            forest.join(int(g[i]), int(g[i + 1]))
-        last_t, last_g = t[-1], g[-1]
-        if len(forest.up) > 1_000_000:
-            yield _forest_rows(forest)
-            forest = Forest()
-    yield _forest_rows(forest)
+def _candidates(num: int, den: int):
+    """From rows (token, n, gid) in that order: rows (a, b, tie) of groups that share a token.
+
+    A list of up to LIST groups gives its pairs of fitting sizes, each once a
+    task. A longer one gives ties between neighbours of fitting sizes, whose
+    components hold all its pairs; of these the task keeps a spanning forest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, pairs, done = Forest(), set(), set()
+        token, held, long = None, [], False  # the list that the next rows may continue
+
+        def close() -> None:
+            if long:
+                return
+            for (n, a), (m, b) in combinations(held, 2):
+                if a != b and den * n >= num * m:
+                    pairs.add((a, b) if a < b else (b, a))
+
+        def extend(ns: list[int], gs: list[int]) -> None:
+            nonlocal held, long
+            held += zip(ns, gs)
+            if len(held) > LIST:
+                for (n, a), (m, b) in zip(held, held[1:]):
+                    if a != b and den * n >= num * m:
+                        forest.join(a, b)
+                long, held = True, held[-1:]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, n, g = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+            size = np.diff(cuts)
+            two = cuts[1:-2][size[1:-1] == 2] if len(size) > 2 else cuts[:0]
+            two = two[(den * n[two] >= num * n[two + 1]) & (g[two] != g[two + 1])]
+            pairs.update(zip(np.minimum(g[two], g[two + 1]).tolist(), np.maximum(g[two], g[two + 1]).tolist()))
+            runs = np.unique(np.concatenate(([0], np.flatnonzero(size > 2), [len(size) - 1])))
+            for r in runs.tolist():
+                i, j = int(cuts[r]), int(cuts[r + 1])
+                if t[i] != token:
+                    close()
+                    token, held, long = t[i], [], False
+                for at in range(i, j, LIST):
+                    ns, gs = n[at : min(j, at + LIST)].tolist(), g[at : min(j, at + LIST)].tolist()
+                    if long:
+                        for (x, a), (y, b) in zip([held[-1], *zip(ns, gs)], zip(ns, gs)):
+                            if a != b and den * x >= num * y:
+                                forest.join(a, b)
+                        held = [(ns[-1], gs[-1])]
+                    else:
+                        extend(ns, gs)
+            if len(pairs) > 50_000:
+                yield _pair_rows(pairs - done, False)
+                done = pairs if len(done) > 1_000_000 else done | pairs
+                pairs = set()
+            if len(forest.up) > 1_000_000:
+                yield _forest_rows(forest)
+                forest = Forest()
+        close()
+        yield _pair_rows(pairs - done, False)
+        yield _forest_rows(forest)
+
+    return run
+
+
+def _pair_rows(pairs, tie: bool) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([tie] * len(a), pa.bool_())], ["a", "b", "tie"])
+
+
+def _signature(h: np.ndarray) -> bytes:
+    """Bitmap of a set: bit ``hash mod size`` for each shingle, at least two bits a shingle."""
+    bits = np.zeros(max(64, 1 << int(2 * len(h) - 1).bit_length()), np.uint8)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, num: int, den: int) -> bool:
+    """False only if the bitmaps prove that the sets can't link.
+
+    A bit of one that the other lacks is a shingle that the other lacks, so it
+    bounds the overlap from above. The larger bitmap is folded to the smaller.
+    """
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)), axis=0)
+    elif len(b) > len(a):
+        b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    c = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return den * c >= num * (n + m - c)
+
+
+def _fitting(num: int, den: int):
+    """Rows (a, b, n, x, m, y): those whose bitmaps allow a link; an unknown bitmap does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [x is None or y is None or may_link(n, x, m, y, num, den) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return run
 
 
 def _forest_rows(forest: Forest) -> pa.RecordBatch:
     pairs = [(x, r) for x in forest.up if (r := forest.find(x)) != x]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
+    return _pair_rows(pairs, True)
 
 
 def _sets_of(marked: np.ndarray, k: int):
@@ -263,10 +356,17 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def prefixes(batches):
         return _prefixes(shared.value, k, num, den)(batches)
 
-    parts = stored(d.mapInArrow(prefixes, "doc_id long, k1 long, k2 long, n long, gid long, prefix array<long>"), "prefixes")
-    lists = parts.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid")
-    ties = lists.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_ties, "a long, b long")
-    clusters = connected_components(ties)
+    parts = stored(d.mapInArrow(prefixes, "doc_id long, k1 long, k2 long, n long, gid long, prefix array<long>, bits binary"), "prefixes")
+    lists = parts.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "gid")
+    lists = lists.repartition("token").sortWithinPartitions("token", "n", "gid")
+    found = stored(lists.mapInArrow(_candidates(num, den), "a long, b long, tie boolean"), "candidates")
+    pairs = found.where("not tie").select("a", "b").distinct()
+    # A group of several texts has no bitmap that holds for all of them.
+    of = parts.where("gid is not null").groupBy("gid").agg(F.first("n").alias("n"), F.when((F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2")), F.first("bits", ignorenulls=True)).alias("bits"))
+    of = stored(of.join(pairs.select(F.explode(F.array("a", "b")).alias("gid")), "gid", "left_semi"), "bitmaps")
+    pairs = pairs.join(of.selectExpr("gid as a", "n", "bits as x"), "a").join(of.selectExpr("gid as b", "n as m", "bits as y"), "b").select("a", "b", "n", "x", "m", "y")
+    pairs = pairs.mapInArrow(_fitting(num, den), "a long, b long")
+    clusters = connected_components(pairs.unionAll(found.where("tie").select("a", "b")))
 
     # Different texts, each with the document that stands for it; those with no possible partner go.
     classes = parts.where("gid is not null").groupBy("k1", "k2", "gid").agg(F.min("doc_id").alias("rep"))
