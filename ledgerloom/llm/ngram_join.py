@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.llm.common import Forest, as_int64, narrow, stored, summed
 from ledgerloom.operators.graph import connected_components
@@ -123,7 +123,7 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
                     seen.add(gid)
                     prefixes.append(p.view(np.int64))
                     bits.append(_signature(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "k1", "k2", "n", "gid", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "hash", "k1", "k2", "n", "gid", "prefix", "bits"])
 
     return run
 
@@ -332,17 +332,10 @@ def _links(num: int, den: int):
     return run
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """Classes of documents whose shingle sets link at ``den * intersection >= num * union``.
-
-    One row per input row: ``doc_id, n_shingles, component_id, k1, k2``, where
-    (k1, k2) names the lower-cased word sequence and component_id is the least
-    doc_id that links reach. A null or blank text has no shingles and links with
-    nothing: it is its own component. Rows with a null doc_id take part by their
-    text; a component without any doc_id has a null one. Repeated rows stay.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Rows (doc_id, hash, n, k1, k2, gid, root): root names the class of linked texts; gid is null without words."""
     spark = docs.sparkSession
-    d = narrow(docs, doc_id=F.col(id_col).cast("bigint"), text=text_col)
+    d = narrow(docs, doc_id=docs[id_col].cast("bigint"), text=text_col, hash=F.xxhash64(docs[text_col]))
     texts = d.where(F.col("text").isNotNull()).select("text")
 
     def cells(batch: pa.RecordBatch) -> np.ndarray:
@@ -356,7 +349,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def prefixes(batches):
         return _prefixes(shared.value, k, num, den)(batches)
 
-    parts = stored(d.mapInArrow(prefixes, "doc_id long, k1 long, k2 long, n long, gid long, prefix array<long>, bits binary"), "prefixes")
+    parts = stored(d.mapInArrow(prefixes, "doc_id long, hash long, k1 long, k2 long, n long, gid long, prefix array<long>, bits binary"), "prefixes")
     lists = parts.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "gid")
     lists = lists.repartition("token").sortWithinPartitions("token", "n", "gid")
     found = stored(lists.mapInArrow(_candidates(num, den), "a long, b long, tie boolean"), "candidates")
@@ -384,7 +377,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sets(batches):
         return _sets_of(marks.value, k)(batches)
 
-    sets_of = d.mapInArrow(sets, "rep long, k1 long, k2 long, shingles binary")
+    sets_of = d.select("doc_id", "text").mapInArrow(sets, "rep long, k1 long, k2 long, shingles binary")
     full = sets_of.alias("s").join(members.alias("m"), (F.col("s.k1") == F.col("m.k1")) & (F.col("s.k2") == F.col("m.k2")) & F.col("s.rep").eqNullSafe(F.col("m.rep")))
     block = F.expr("cast(pmod(m.k2, m.q) as int)")
     full = full.select("m.cluster", block.alias("block"), F.expr("cast(m.q as int)").alias("q"), "m.k1", "m.k2", "s.shingles")
@@ -392,8 +385,41 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_links(num, den), "a long, b long")
     linked = connected_components(links)
 
-    rows = parts.select("doc_id", "n", "k1", "k2", "gid").join(linked.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    rows = stored(rows, "rooted")
+    rows = parts.select("doc_id", "hash", "n", "k1", "k2", "gid").join(linked.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    return stored(rows, "rooted")
+
+
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """Classes of documents whose shingle sets link at ``den * intersection >= num * union``.
+
+    One row per input row: ``doc_id, n_shingles, component_id, k1, k2``, where
+    (k1, k2) names the lower-cased word sequence and component_id is the least
+    doc_id that links reach. A null or blank text has no shingles and links with
+    nothing: it is its own component. Rows with a null doc_id take part by their
+    text; a component without any doc_id has a null one. Repeated rows stay.
+    """
+    rows = _rooted(docs, id_col, text_col, k, num, den)
     least = rows.where("gid is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "k1", "k2")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The input's rows and columns, one row of each class: that of the least doc_id.
+
+    A null doc_id comes last; equal ids are ordered by a hash of the text, and of
+    repeated rows with the same id and text one stays. Rows without words link
+    with nothing and all stay.
+    """
+    rows = _rooted(docs, id_col, text_col, k, num, den).where("gid is not null")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "hash")).alias("w"))
+    same = rows.groupBy("doc_id", "hash").agg(F.count("*").alias("copies"))
+    kept = first.select(F.col("w.doc_id").alias("_id"), F.col("w.hash").alias("_hash"))
+    kept = kept.join(same, kept["_id"].eqNullSafe(same["doc_id"]) & (kept["_hash"] == same["hash"])).select("_id", "_hash", "copies")
+    words = F.btrim(F.coalesce(docs[text_col], F.lit("")), F.lit(" \t\n\x0b\f\r")) != ""
+    names = docs.columns
+    found = docs.where(words).join(kept, (F.xxhash64(docs[text_col]) == kept["_hash"]) & docs[id_col].cast("bigint").eqNullSafe(kept["_id"]))
+    once = found.where(kept["copies"] == 1).select(*(docs[c] for c in names))
+    more = found.where(kept["copies"] > 1).withColumn("_ledgerloom_row", F.row_number().over(Window.partitionBy(kept["_hash"], kept["_id"]).orderBy(F.lit(0))))
+    more = more.where("_ledgerloom_row = 1").select(*(docs[c] for c in names))
+    return docs.where(~words).unionAll(once).unionAll(more)
