@@ -60,13 +60,15 @@ def _windows(t: Column, k: int) -> Column:
 def _templates(df: DataFrame, k: int) -> DataFrame:
     """Adds ``v`` and ``t`` (values and templates) and ``w`` (window hashes) to a table with ``text``."""
     df = df.withColumn("_w", _words(F.col("text"))).withColumn("_t", _tokens(F.col("_w")))
-    return df.select(*(c for c in df.columns if c not in ("_w", "_t", "text")), F.col("_t.v").alias("v"), F.col("_t.t").alias("t")).withColumn("w", _windows(F.col("t"), k))
+    # posexplode_outer is used on w: the plain one infers a filter that repeats all of this below itself.
+    # Arrays of plain values: a field of an array of structs would be drawn out anew for every window.
+    return df.select(*(c for c in df.columns if c not in ("_w", "_t", "text")), F.transform("_t", lambda x: x["v"]).alias("v"), F.transform("_t", lambda x: x["t"]).alias("t")).withColumn("w", _windows(F.col("t"), k))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", k: int = K, literal: int = LITERAL) -> DataFrame:
     """``item_id, ipos, h, iv, it, windows``: an item's windows with enough literal tokens, and how many it has."""
     b = _templates(narrow(benchmark, item_id=item_col, text=text_col).where(F.col("text").isNotNull()).distinct(), k)
-    b = b.select("item_id", "v", "t", F.posexplode("w").alias("ipos", "h"))
+    b = b.select("item_id", "v", "t", F.posexplode_outer("w").alias("ipos", "h"))
     b = b.select("item_id", "ipos", "h", F.slice("v", F.col("ipos") + 1, k).alias("iv"), F.slice("t", F.col("ipos") + 1, k).alias("it"))
     b = b.where(F.size(F.filter("it", lambda x: ~x.startswith("#"))) >= F.least(F.lit(literal), F.greatest(F.lit(1), F.size("it") - 1)))
     return b.withColumn("windows", F.expr("count(*) over (partition by item_id)"))
@@ -87,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     small = b.limit(BROADCAST + 1).count() <= BROADCAST
     text = docs[text_col]
     d = _templates(narrow(docs, doc_id=id_col, text=text, text_hash=F.xxhash64(text)), k)
-    d = d.select("doc_id", "text_hash", "v", "t", F.posexplode("w").alias("pos", "h"))
+    d = d.select("doc_id", "text_hash", "v", "t", F.posexplode_outer("w").alias("pos", "h"))
     m = d.join(F.broadcast(b) if small else b, "h")
     m = m.select("doc_id", "text_hash", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, k).alias("dv"), F.slice("t", F.col("pos") + 1, k).alias("dt"))
     m = m.where("dt = it")
