@@ -2,5 +2,678 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerloom.functions import values as V
+from ledgerloom.operators import claims as C, corroborate as B, fragments, frontier as N, gate, provenance as P, report as R, resolve as E, truth as T
+from ledgerloom.plans.bindings import bound, ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query under its function's name; ``sql`` is its check over the named bindings."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {ctes(*views)}{', ' if views else ''}{sql}" if views or sql.lstrip().startswith("_") else sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _list(xs) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+# Text and values
+
+_SUFFIXES = " OR ".join("h = '{0}' OR ends_with(h, '.{0}')".format(s) for s in ["sec.gov", "clinicaltrials.gov"])
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))"
+
+
+@query(f"x AS (SELECT mention_id, {_HOST} AS h FROM v_names) SELECT mention_id, h AS host, ({_SUFFIXES}) AS denied FROM x", "names")
+def denylist_filter(spark, d):
+    n = bound(spark, d, "names").withColumn("host", V.host(F.col("url")))
+    return n.select("mention_id", "host", V.under_any(F.col("host"), ["sec.gov", "clinicaltrials.gov"]).alias("denied"))
+
+
+@query(f"x AS (SELECT {_HOST} AS h FROM v_names) SELECT h AS host, count(*) AS hits FROM x WHERE {_SUFFIXES} GROUP BY h", "names")
+def denylist_audit(spark, d):
+    return denylist_filter(spark, d).where("denied").groupBy("host").agg(F.count("*").alias("hits"))
+
+
+def _class_case() -> str:
+    rules = " ".join("WHEN " + " OR ".join(f"h = '{s}' OR ends_with(h, '.{s}')" for s in ds) + f" THEN '{k}'" for k, ds in V.CLASS_DOMAINS.items())
+    ends = " OR ".join(f"ends_with(h, '{e}')" for e in V.INVESTOR_ENDINGS)
+    return f"CASE {rules} WHEN {ends} THEN 'investor' ELSE 'other' END"
+
+
+@query(f"x AS (SELECT mention_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM v_names) SELECT mention_id, {_class_case()} AS source_class FROM x", "names")
+def source_class(spark, d):
+    return bound(spark, d, "names").select("mention_id", V.source_class(V.host(F.col("url"))).alias("source_class"))
+
+
+@query(f"x AS (SELECT regexp_replace({_HOST}, '^www\\.', '') AS h FROM v_names), y AS (SELECT {_class_case()} AS source_class FROM x) SELECT source_class, count(*) AS n FROM y GROUP BY source_class", "names")
+def class_mix(spark, d):
+    return source_class(spark, d).groupBy("source_class").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, sha256(t) AS text_sha, CAST(length(t) AS BIGINT) AS chars, length(t) >= 200 AS kept FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM pages)")
+def page_text(spark, d):
+    p = _t(spark, d, "pages").select("page_id", V.html_text(F.col("html")).alias("t"))
+    return p.select("page_id", F.sha2("t", 256).alias("text_sha"), F.length("t").cast("bigint").alias("chars"), (F.length("t") >= 200).alias("kept"))
+
+
+_SPELL = "CASE o_orderkey % 7 WHEN 0 THEN '$' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || 'K' WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) WHEN 2 THEN '  ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ' million USD ' WHEN 3 THEN '1998-01-0' || CAST(1 + o_orderkey % 9 AS STRING) WHEN 4 THEN CAST(o_orderkey AS STRING) || ' games' WHEN 5 THEN 'Series   ' || o_orderpriority ELSE '1,' || CAST(100 + o_orderkey % 900 AS STRING) || '.5' END"
+_SCALE_CASE = "CASE u WHEN '' THEN 1.0E0 " + " ".join(f"WHEN '{k}' THEN {v:.1f}" for k, v in V.SCALES.items()) + " END"
+
+
+@query(f"""x AS (SELECT o_orderkey, trim({_SPELL}) AS s FROM orders),
+y AS (SELECT *, CASE WHEN lower(regexp_extract(s, '{V.MONEY_SPELLING}', 2)) IN ('usd', 'dollar', 'dollars') THEN '' ELSE lower(regexp_extract(s, '{V.MONEY_SPELLING}', 2)) END AS u,
+      TRY_CAST(replace(regexp_extract(s, '{V.MONEY_SPELLING}', 1), ',', '') AS DOUBLE) AS n FROM x),
+z AS (SELECT *, n * {_SCALE_CASE} AS v FROM y)
+SELECT o_orderkey, CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN s WHEN v IS NOT NULL THEN CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS STRING) ELSE CAST(v AS STRING) END
+       ELSE lower(regexp_replace(s, '\\s+', ' ', 'g')) END AS value FROM z""".replace("x AS", "WITH x AS", 1))
+def canonical_values(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.expr(_SPELL).alias("raw"))
+    return o.select("o_orderkey", V.canonical_value(F.col("raw")).alias("value"))
+
+
+_CUR = "CASE o_orderkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'eur' WHEN 2 THEN 'GBP' WHEN 3 THEN NULL ELSE 'XXX' END"
+_RATE = "CASE upper(c) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.FX_TO_USD.items()) + " END"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, trim({_SPELL}) AS s, {_CUR} AS c FROM orders),
+y AS (SELECT *, lower(regexp_extract(s, '{V.AMOUNT_SPELLING}', 2)) AS u, TRY_CAST(replace(regexp_extract(s, '{V.AMOUNT_SPELLING}', 1), ',', '') AS DOUBLE) AS n FROM x),
+z AS (SELECT *, CASE WHEN n IS NULL THEN 'amount_unparseable' WHEN {_SCALE_CASE} IS NULL THEN 'amount_unit_unknown' WHEN c IS NULL THEN 'currency_missing' WHEN {_RATE} IS NULL THEN 'fx_unknown_currency:' || c END AS reject FROM y)
+SELECT o_orderkey, reject, CASE WHEN reject IS NULL THEN round(n * {_SCALE_CASE} * {_RATE}, 4) END AS usd, CASE WHEN reject IS NULL THEN CASE WHEN upper(c) = 'USD' THEN '' ELSE 'fx:' || upper(c) || ',fx_static_rate' END END AS flags FROM z""")
+def money_validate(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", V.money_usd(F.expr(_SPELL), F.expr(_CUR)).alias("m"))
+    return o.select("o_orderkey", "m.reject", F.round("m.usd", 4).alias("usd"), F.when(F.col("m.reject").isNull(), F.array_join("m.flags", ",")).alias("flags"))
+
+
+_KEY = f"array_to_string(list_filter(regexp_extract_all(lower(surface), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_list(V.CORPORATE_SUFFIXES)})), ' ')"
+
+
+@query(f"SELECT mention_id, {_KEY} AS surface_key FROM v_names".replace("SELECT", "_x AS (SELECT 1) SELECT", 1), "names")
+def norm_surface(spark, d):
+    return bound(spark, d, "names").select("mention_id", V.surface_key(F.col("surface")).alias("surface_key"))
+
+
+@query(rf"_x AS (SELECT 1) SELECT mention_id, trim(regexp_replace(regexp_replace(lower(surface), '{V.SCREEN_SUFFIX}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM v_names", "names")
+def norm_name(spark, d):
+    return bound(spark, d, "names").select("mention_id", V.screen_name(F.col("surface")).alias("name"))
+
+
+@query("_x AS (SELECT 1) SELECT mention_id, left(sha256(url || '|' || surface), 16) AS id FROM v_names", "names")
+def sha_ids(spark, d):
+    return bound(spark, d, "names").select("mention_id", F.left(F.sha2(F.concat_ws("|", "url", "surface"), 256), F.lit(16)).alias("id"))
+
+
+_TOL = "CASE WHEN {x} = 0 THEN 0.0E0 ELSE least(0.5E0 * pow(10.0E0, CASE WHEN CAST(round_even(abs({x}), 0) AS BIGINT) = 0 THEN 0 ELSE length(CAST(CAST(round_even(abs({x}), 0) AS BIGINT) AS STRING)) - length(rtrim(CAST(CAST(round_even(abs({x}), 0) AS BIGINT) AS STRING), '0')) END), 0.01E0 * abs({x})) END"
+
+
+@query(f"SELECT o_orderkey, round({_TOL.format(x='floor(o_totalprice / 100) * 100')}, 6) AS tolerance FROM orders")
+def implied_tolerance(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.round(V.implied_tolerance(F.floor(F.col("o_totalprice") / 100).cast("double") * 100), 6).alias("tolerance"))
+
+
+@query("_x AS (SELECT 1) SELECT stratum, count(*) AS mentions, count(DISTINCT source_id) AS sources, round(sum(amount), 2) AS amount FROM v_mentions GROUP BY stratum", "mentions")
+def amounts_by_surface(spark, d):
+    return bound(spark, d, "mentions").groupBy("stratum").agg(F.count("*").alias("mentions"), F.countDistinct("source_id").alias("sources"), F.round(F.sum("amount").cast("double"), 2).alias("amount"))
+
+
+_SUMS = f"r AS (SELECT stratum, record, median(amount) AS m FROM v_mentions GROUP BY stratum, record), sums AS (SELECT stratum, count(*) AS n, sum(m) AS total, sum({_TOL.format(x='m')}) AS slack FROM r GROUP BY stratum)"
+
+
+@query(f"{_SUMS} SELECT stratum, n, round(total, 4) AS total, round(slack, 4) AS slack FROM sums", "mentions")
+def stratum_sum_view(spark, d):
+    return R.stratum_sums(_amounts(spark, d)).select("stratum", "n", F.round("total", 4).alias("total"), F.round("slack", 4).alias("slack"))
+
+
+def _amounts(spark, d):
+    return bound(spark, d, "mentions").withColumn("amount", F.col("amount").cast("double"))
+
+
+# What is not yet found
+
+_FREQ = "c AS (SELECT stratum, record_key, count(DISTINCT formulation_id) AS k FROM v_covered GROUP BY stratum, record_key), f AS (SELECT stratum, count(*) AS n, count(*) FILTER (k = 1) AS f1, count(*) FILTER (k = 2) AS f2, count(*) FILTER (k > 2) AS more FROM c GROUP BY stratum)"
+
+
+@query(f"{_FREQ} SELECT * FROM f", "covered")
+def freq_of_freq(spark, d):
+    return N.frequency_of_frequencies(bound(spark, d, "covered"))
+
+
+@query(f"""{_FREQ}, p AS (SELECT stratum, CASE WHEN issued THEN 0 ELSE p_success * yield_if_success END AS r FROM v_formulations)
+SELECT f.*, round((f1 + (SELECT coalesce(sum(r), 0) FROM p WHERE p.stratum = f.stratum OR p.stratum IS NULL)) / n, 6) AS u_hat FROM f""", "covered", "formulations")
+def good_turing(spark, d):
+    g = N.good_turing(freq_of_freq(spark, d), bound(spark, d, "formulations"))
+    return g.withColumn("u_hat", F.round("u_hat", 6))
+
+
+@query(f"{_FREQ} SELECT stratum, round(CASE WHEN f2 > 0 THEN 0.75 * f1 * f1 / (2.0 * f2) ELSE 0.75 * f1 * (f1 - 1) / 2.0 END, 6) AS m0 FROM f", "covered")
+def chao1(spark, d):
+    return freq_of_freq(spark, d).select("stratum", F.round(N.chao1(F.lit(4.0)), 6).alias("m0"))
+
+
+_SEEN = """first AS (SELECT stratum, record_key, min(step) AS step FROM v_covered GROUP BY stratum, record_key),
+new AS (SELECT stratum, step, count(*) AS new FROM first GROUP BY stratum, step),
+grid AS (SELECT s.stratum, t.step FROM (SELECT DISTINCT stratum FROM v_covered) s, (SELECT DISTINCT step FROM v_covered) t),
+seen AS (SELECT stratum, step, coalesce(new, 0) AS new, CAST(sum(coalesce(new, 0)) OVER (PARTITION BY stratum ORDER BY step) AS BIGINT) AS found FROM grid LEFT JOIN new USING (stratum, step))"""
+
+
+def _seen(spark, d):
+    c = bound(spark, d, "covered")
+    return N.steps_seen(c, c.select("step").distinct())
+
+
+@query(f"{_SEEN}, v AS (SELECT stratum, step, sum(pow(24.0 / greatest(found, 1), 2)) OVER (PARTITION BY stratum ORDER BY step) AS v FROM seen) SELECT stratum, step, round(v, 6) AS v FROM v", "covered")
+def realized_v(spark, d):
+    return N.realized_variance(_seen(spark, d)).select("stratum", "step", F.round("v", 6).alias("v"))
+
+
+@query(f"""{_SEEN}, v AS (SELECT stratum, max(found) AS n, sum(pow(24.0 / greatest(found, 1), 2)) AS v FROM seen GROUP BY stratum)
+SELECT stratum, n, round(sqrt(2 * v * ln((SELECT count(*) FROM v) / 0.05)), 6) AS psi FROM v""", "covered")
+def psi_radius(spark, d):
+    v = N.realized_variance(_seen(spark, d)).groupBy("stratum").agg(F.max("found").alias("n"), F.max("v").alias("v"))
+    k = v.agg(F.count("*").alias("k"))
+    return v.join(F.broadcast(k)).select("stratum", "n", F.round(N.radius(F.col("n"), F.col("k"), F.col("v"), F.lit(200)), 6).alias("psi"))  # one row
+
+
+@query("_x AS (SELECT 1) SELECT stratum, record_key, min(step) AS step FROM v_covered GROUP BY stratum, record_key", "covered")
+def first_discovery(spark, d):
+    return bound(spark, d, "covered").groupBy("stratum", "record_key").agg(F.min("step").alias("step"))
+
+
+@query(f"{_SEEN} SELECT stratum, step, found, round(found / max(found) OVER (PARTITION BY stratum), 9) AS recall FROM seen", "covered")
+def recall_curve(spark, d):
+    return N.recall(_seen(spark, d)).select("stratum", "step", "found", F.round("recall", 9).alias("recall"))
+
+
+@query(f"{_SEEN} SELECT stratum, step, least(new, 12) AS counted FROM seen", "covered")
+def novelty_cap(spark, d):
+    return _seen(spark, d).select("stratum", "step", N.capped_novelty(F.col("new")).cast("bigint").alias("counted"))
+
+
+def _ledger(spark, d):
+    s = N.realized_variance(_seen(spark, d))
+    return s.select("stratum", "step", (F.col("new") / F.greatest("found", F.lit(1))).alias("u_hat"), F.lit(0.0).alias("psi"), F.col("found").alias("n"), F.lit(0).alias("claimed"), F.lit(False).alias("certified"), F.lit(False).alias("hot"), (F.col("step") * N.PRICE * 8).alias("spent"))
+
+
+_STOP = f"""{_SEEN}, g AS (SELECT e.e AS epsilon, step, bool_and(new / greatest(found, 1) < e.e) AS ok, max(step * 0.16) AS spent FROM seen, (VALUES (0.3), (0.2), (0.1), (0.05)) e(e) GROUP BY e.e, step),
+h AS (SELECT epsilon, min(step) AS s FROM g WHERE spent >= 5.0 OR ok GROUP BY epsilon), l AS (SELECT epsilon, max(step) AS last FROM g GROUP BY epsilon),
+stops AS (SELECT CAST(l.epsilon AS DOUBLE) AS epsilon, coalesce(h.s, l.last) AS stop_step, CASE WHEN h.s IS NULL THEN 'max_steps' WHEN h.s * 0.16 >= 5.0 THEN 'budget' ELSE 'certified' END AS reason FROM l LEFT JOIN h ON h.epsilon = l.epsilon)"""
+
+
+@query(f"{_STOP} SELECT * FROM stops", "covered")
+def stop_replay(spark, d):
+    return N.replay_stops(_ledger(spark, d), spark.createDataFrame([(0.3,), (0.2,), (0.1,), (0.05,)], "epsilon double"))
+
+
+@query(f"{_STOP} SELECT reason, count(*) AS runs, CAST(median(stop_step) AS DOUBLE) AS median_step FROM stops GROUP BY reason", "covered")
+def stop_summary(spark, d):
+    return stop_replay(spark, d).groupBy("reason").agg(F.count("*").alias("runs"), F.median("stop_step").alias("median_step"))
+
+
+@query("""_x AS (SELECT 1) SELECT formulation_id, round(0.5 * yield_if_success - cost / p_success, 6) AS idx FROM v_formulations WHERE NOT issued AND p_success > 0
+ORDER BY 0.5 * yield_if_success - cost / p_success DESC, formulation_id LIMIT 20""", "formulations")
+def reservation_topk(spark, d):
+    return N.next_searches(bound(spark, d, "formulations"), 20).select("formulation_id", F.round("index", 6).alias("idx"))
+
+
+@query("""f AS (SELECT greatest(0.25, least(1.0, (sum(realized_yield) + 1.0E0) / (sum(p0 * yield_if_success) + 1.0E0))) AS f FROM v_formulations WHERE issued)
+SELECT formulation_id, round(CASE WHEN NOT issued AND NOT gap_directed THEN p0 * f ELSE p_success END, 6) AS p_success FROM v_formulations, f""", "formulations")
+def yield_calibration(spark, d):
+    return N.recalibrated(bound(spark, d, "formulations")).select("formulation_id", F.round("p_success", 6).alias("p_success"))
+
+
+@query("""s AS (SELECT DISTINCT stratum FROM v_covered) SELECT stratum, EXISTS (SELECT 1 FROM v_formulations p WHERE NOT p.issued AND p.p_success * p.yield_if_success >= 0.2 AND (p.stratum = s.stratum OR p.stratum IS NULL)) AS hot FROM s""", "covered", "formulations")
+def hot_frontier(spark, d):
+    return N.hot_strata(bound(spark, d, "covered").select("stratum").distinct(), bound(spark, d, "formulations"))
+
+
+_QKEY = "array_to_string(list_sort(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')), ' ')"
+
+
+@query(f"""k AS (SELECT query, issued, {_QKEY} AS query_key FROM v_formulations) SELECT query_key, min(query) AS query FROM k WHERE NOT issued AND query_key NOT IN (SELECT query_key FROM k WHERE issued) GROUP BY query_key""", "formulations")
+def novel_queries(spark, d):
+    f = bound(spark, d, "formulations")
+    return N.novel_queries(f.where("not issued"), f.where("issued"))
+
+
+# Copies and supersession
+
+_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+_SIM = f"""w AS (SELECT doc_id AS id, {_TOK} AS w FROM documents),
+s AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [] END AS s FROM w),
+e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.85)"""
+
+
+def _similar(spark, d):
+    return P.similar_pairs(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"WITH {_SIM} SELECT a, b, round(similarity, 9) AS similarity FROM p")
+def shingle_jaccard(spark, d):
+    return _similar(spark, d).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {_SIM}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS node, min(b) AS root FROM r GROUP BY a""")
+def dup_components(spark, d):
+    from ledgerloom.operators.graph import connected_components
+
+    return connected_components(_similar(spark, d).select("a", "b"))
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), v AS (SELECT item_id AS id, {_TOK} AS w FROM benchmark),
+a AS (SELECT DISTINCT id AS a, array_to_string(w[i:i + 24], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 23)) AS i FROM w WHERE len(w) >= 25)),
+b AS (SELECT DISTINCT id AS b, array_to_string(w[i:i + 24], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 23)) AS i FROM v WHERE len(w) >= 25))
+SELECT a, b, count(*) AS grams FROM a JOIN b USING (g) GROUP BY a, b""")
+def verbatim_overlap(spark, d):
+    return P.verbatim_pairs(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query("""u AS (SELECT source_id AS b, unnest(regexp_extract_all(text, 'https?://[^\\s"''<>)]+')) AS url FROM v_sources) SELECT DISTINCT s.source_id AS a, u.b FROM v_sources s JOIN u USING (url) WHERE s.source_id <> u.b""", "sources")
+def citation_edges(spark, d):
+    return P.citations(bound(spark, d, "sources"))
+
+
+@query(f"""{_SIM}, u AS (SELECT source_id AS b, unnest(regexp_extract_all(text, 'https?://[^\\s"''<>)]+')) AS url FROM v_sources),
+q AS (SELECT s.source_id AS a, u.b FROM v_sources s JOIN u USING (url) WHERE s.source_id <> u.b UNION SELECT a, b FROM p)
+SELECT DISTINCT CASE WHEN x.ts < y.ts THEN a ELSE b END AS src, CASE WHEN x.ts < y.ts THEN b ELSE a END AS dst FROM q JOIN v_sources x ON x.source_id = a JOIN v_sources y ON y.source_id = b
+WHERE x.ts <> y.ts AND NOT coalesce(x.chain = y.chain, false)""", "sources")
+def derivation_edges(spark, d):
+    s = bound(spark, d, "sources")
+    return P.derivations(_similar(spark, d).select("a", "b").unionAll(P.citations(s)), s)
+
+
+@query("""o AS (SELECT *, lag(source_id) OVER (PARTITION BY chain ORDER BY ts, source_id) AS old_id FROM v_sources WHERE chain IS NOT NULL)
+SELECT old_id, source_id AS new_id, 'amendment' AS reason FROM o WHERE old_id IS NOT NULL AND regexp_matches(doc_type, '(?i)(/A\\b|amend|updated)')""", "sources")
+def supersession_chain(spark, d):
+    return P.superseded_in_chain(bound(spark, d, "sources"))
+
+
+_FIX = "regexp_matches(left(text, 2000), '(?i)\\b(correction|corrected|updated to reflect|an earlier version|amends|amended)\\b')"
+
+
+@query(f"_x AS (SELECT 1) SELECT a.source_id AS old_id, b.source_id AS new_id, 'self_correction' AS reason FROM v_sources a JOIN v_sources b ON a.domain = b.domain AND b.ts > a.ts WHERE {_FIX.replace('text', 'b.text')}", "sources")
+def supersession_selfcorr(spark, d):
+    return P.superseded_by_correction(bound(spark, d, "sources"))
+
+
+@query("""o AS (SELECT *, lag(source_id) OVER (PARTITION BY chain ORDER BY ts, source_id) AS old_id FROM v_sources WHERE chain IS NOT NULL)
+SELECT DISTINCT old_id AS source_id FROM o WHERE old_id IS NOT NULL AND doc_type = 'Form D/A' AND anchored""", "sources")
+def dead_sources(spark, d):
+    s = bound(spark, d, "sources")
+    return P.dead_sources(P.superseded_in_chain(s), B.with_reliability(s))
+
+
+@query("_x AS (SELECT 1) SELECT source_id, row_number() OVER (PARTITION BY chain ORDER BY ts, source_id) - 1 AS version FROM v_sources WHERE chain IS NOT NULL", "sources")
+def version_index(spark, d):
+    return P.versions(bound(spark, d, "sources"))
+
+
+# Beliefs
+
+_PRIOR = "CASE source_class " + " ".join(f"WHEN '{k}' THEN {v}E0" for k, v in V.CLASS_PRIOR.items()) + " ELSE 0.5E0 END"
+_BELIEF = f"""q AS (SELECT cell, value, source_id, max(CASE WHEN anchored THEN {_PRIOR} ELSE least({_PRIOR}, 0.3E0) END) AS q, min(mention_id) AS first_id FROM v_cells GROUP BY cell, value, source_id),
+b AS (SELECT cell, value, 1 - product(1 - q) AS belief, count(*) AS nu, min(first_id) AS first_id FROM q GROUP BY cell, value),
+k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(belief, 9) DESC, first_id, value) AS r FROM b),
+a AS (SELECT cell, max(CASE WHEN r = 1 THEN value END) AS value, max(CASE WHEN r = 1 THEN belief END) AS belief, max(CASE WHEN r = 1 THEN nu END) AS nu, coalesce(max(CASE WHEN r = 2 THEN belief END), 0) AS runner_up, count(*) - 1 AS rivals FROM k GROUP BY cell)"""
+
+
+def _beliefs(spark, d):
+    return B.origin_beliefs(B.with_reliability(bound(spark, d, "cells")))
+
+
+@query(f"{_BELIEF} SELECT cell, value, round(belief, 6) AS belief, nu FROM b", "cells")
+def noisy_or_belief(spark, d):
+    return _beliefs(spark, d).select("cell", "value", F.round("belief", 6).alias("belief"), "nu")
+
+
+@query(f"{_BELIEF} SELECT cell, value, round(belief, 6) AS belief, nu, round(runner_up, 6) AS runner_up, rivals FROM a", "cells")
+def adopt_value(spark, d):
+    return B.adopted(_beliefs(spark, d)).select("cell", "value", F.round("belief", 6).alias("belief"), "nu", F.round("runner_up", 6).alias("runner_up"), "rivals")
+
+
+@query(f"{_BELIEF} SELECT cell, CASE WHEN round(belief, 9) >= 1 THEN 1000000 ELSE CAST(greatest(0, ceil(ln((1 - round(belief, 9)) / greatest(1 - round(runner_up, 9), 1e-12)) / ln(0.7)) - 1) AS BIGINT) END AS kappa FROM a", "cells")
+def forgery_margin(spark, d):
+    return B.adopted(_beliefs(spark, d)).select("cell", "kappa")
+
+
+@query("n AS (SELECT cell, value, count(*) AS n FROM v_cells GROUP BY cell, value), r AS (SELECT *, n / sum(n) OVER (PARTITION BY cell) AS share, row_number() OVER (PARTITION BY cell ORDER BY n DESC, value) AS r FROM n) SELECT cell, value, round(share, 9) AS share FROM r WHERE r = 1", "cells")
+def majority_baseline(spark, d):
+    return B.majority(bound(spark, d, "cells")).select("cell", "value", F.round("share", 9).alias("share"))
+
+
+@query(f"""{_BELIEF}, m AS (SELECT c.source_id, CASE WHEN c.anchored THEN {_PRIOR} ELSE least({_PRIOR}, 0.3E0) END AS q, c.value = a.value AS same FROM v_cells c JOIN a ON a.cell = c.cell)
+SELECT source_id, count(*) FILTER (same) AS agree, count(*) FILTER (NOT same) AS disagree, round((count(*) FILTER (same) + 4.0E0 * max(q)) / (count(*) + 4.0E0), 9) AS q FROM m GROUP BY source_id""", "cells")
+def refine_q(spark, d):
+    c = B.with_reliability(bound(spark, d, "cells"))
+    return B.refined_reliability(c, B.adopted(B.origin_beliefs(c))).select("source_id", "agree", "disagree", F.round("q", 9).alias("q"))
+
+
+# Fragmentation
+
+_COVER = "v AS (SELECT DISTINCT cell AS record, CAST(value AS STRING) AS attribute, source_class FROM v_cells)"
+_RANK = "CASE source_class " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(V.CLASSES)) + " END"
+_CASES = f"""{_COVER}, pc AS (SELECT record, source_class, count(*) AS k FROM v GROUP BY record, source_class),
+best AS (SELECT record, k, source_class FROM pc QUALIFY row_number() OVER (PARTITION BY record ORDER BY k DESC, {_RANK}) = 1),
+att AS (SELECT record, attribute, count(*) AS c FROM v GROUP BY record, attribute), u AS (SELECT record, count(*) AS attributes, min(c) AS least, sum(c) AS cells FROM att GROUP BY record),
+cs AS (SELECT u.record, attributes, CASE WHEN k = attributes THEN 'scan_sufficient' WHEN least = 1 THEN 'fragmented' ELSE 'redundant' END AS case_, CASE WHEN k = attributes THEN source_class END AS best_class, cells / (attributes * 6) AS density FROM u JOIN best USING (record))"""
+
+
+def _cover(spark, d):
+    return fragments.coverage(bound(spark, d, "cells").select(F.col("cell").alias("record"), F.col("value").cast("string").alias("attribute"), "source_class"))
+
+
+@query(f"{_COVER} SELECT record, attribute, " + ", ".join(f"CAST(count(*) FILTER (source_class = '{c}') AS INTEGER) AS {c}" for c in V.CLASSES) + " FROM v GROUP BY record, attribute", "cells")
+def coverage_matrix(spark, d):
+    return fragments.coverage_matrix(_cover(spark, d))
+
+
+@query(f"{_CASES} SELECT record, attributes, case_ AS kind, best_class, round(density, 9) AS density FROM cs", "cells")
+def fragmentation_case(spark, d):
+    return fragments.cases(_cover(spark, d)).select("record", "attributes", F.col("case").alias("kind"), "best_class", F.round("density", 9).alias("density"))
+
+
+@query(f"{_CASES}, t AS (SELECT best_class, count(*) AS k FROM cs WHERE best_class IS NOT NULL GROUP BY best_class ORDER BY k DESC, best_class LIMIT 1) SELECT best_class, round(k / (SELECT count(*) FROM cs), 9) AS share, k / (SELECT count(*) FROM cs) >= 0.9 AND (SELECT count(*) FROM cs) >= 8 AS prune FROM t", "cells")
+def single_class(spark, d):
+    return fragments.single_class(fragments.cases(_cover(spark, d))).select("best_class", F.round("share", 9).alias("share"), "prune")
+
+
+# Entities
+
+_RNAME = f"array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(surface), '{V.RESOLVER_SUFFIX}', '', 'g'), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ')"
+_PAIRS = f"""n AS (SELECT mention_id, {_RNAME} AS name FROM v_names), w AS (SELECT mention_id, name, string_split(name, ' ') AS w FROM n),
+e AS (SELECT mention_id, 'pre:' || left(name, 4) AS block FROM w WHERE length(name) >= 4 UNION SELECT mention_id, 'bi:' || w[i] || ' ' || w[i + 1] FROM (SELECT mention_id, w, unnest(range(1, len(w))) AS i FROM w)),
+cp AS (SELECT a.mention_id AS a, b.mention_id AS b, list_sort(list(DISTINCT a.block)) AS predicates FROM e a JOIN e b ON a.block = b.block AND a.mention_id < b.mention_id GROUP BY a.mention_id, b.mention_id)"""
+
+
+def _pairs(spark, d):
+    n = bound(spark, d, "names").select("mention_id", E.name_blocks(F.col("surface")).alias("blocks"))
+    return E.candidate_pairs(n)
+
+
+@query(f"{_PAIRS} SELECT a, b, array_to_string(predicates, ',') AS predicates FROM cp", "names")
+def blocking_pairs(spark, d):
+    return _pairs(spark, d).select("a", "b", F.array_join("predicates", ",").alias("predicates"))
+
+
+@query(f"{_PAIRS}, u AS (SELECT unnest(predicates) AS block FROM cp) SELECT block, count(*) AS pairs FROM u GROUP BY block", "names")
+def blocking_log(spark, d):
+    return _pairs(spark, d).select(F.explode("predicates").alias("block")).groupBy("block").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT o_orderkey, round(exp(-abs(datediff('day', TIMESTAMP '1998-01-01 00:00:00', o_orderdate)) / 1825.0), 9) AS plausibility FROM orders")
+def temporal_feature(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.round(E.temporal(F.col("o_orderdate"), F.expr("timestamp_ntz '1998-01-01 00:00:00'")), 9).alias("plausibility"))
+
+
+_COS = """x AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10)"""
+
+
+def _cosines(spark, d):
+    e = _t(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label", (F.col("vec_id") + 10).alias("b"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
+    return a.join(b, ["b", "label"]).select("a", "b", E.cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
+@query(f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM x")
+def cosine_pairs(spark, d):
+    return _cosines(spark, d).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {_COS} SELECT a, b, CASE WHEN t >= 0.85 THEN 'merge' WHEN t <= 0.15 THEN 'split' ELSE 'adjudicate' END AS decision, round(ln(least(greatest(t, 0.001), 0.999) / (1 - least(greatest(t, 0.001), 0.999))), 5) AS weight FROM (SELECT a, b, round(cosine, 6) AS t FROM x)")
+def theta_route(spark, d):
+    t = F.round("cosine", 6)
+    return _cosines(spark, d).select("a", "b", E.route(t).alias("decision"), F.round(E.edge_weight(t), 5).alias("weight"))
+
+
+@query()
+def lsh_bands(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.array(*[E.plane_bucket(F.col("embedding"), 64, b) for b in range(E.BANDS)]).alias("blocks"))
+    return e.select("mention_id", F.explode("blocks").alias("block"))
+
+
+@query()
+def correlation_cluster(spark, d):
+    names = bound(spark, d, "names").select("mention_id")
+    return E.resolve(names, _cosines(spark, d).select("a", "b", E.edge_weight(F.col("cosine")).alias("w")))
+
+
+@query()
+def name_matches(spark, d):
+    n = bound(spark, d, "names").select("mention_id", V.resolver_name(F.col("surface")).alias("name"))
+    p = _pairs(spark, d).join(n.selectExpr("mention_id as a", "name as x"), "a").join(n.selectExpr("mention_id as b", "name as y"), "b")
+    return p.select("a", "b", F.round(E.name_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query(f"n AS (SELECT {_KEY} AS surface, entity AS entity_id, count(*) AS n FROM v_names GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY n DESC, entity_id) AS r, count(*) OVER (PARTITION BY surface) AS k FROM n) SELECT surface, entity_id, k > 1 AS ambiguous FROM r WHERE r = 1", "names")
+def surface_vote(spark, d):
+    return E.surface_vote(bound(spark, d, "names").select(V.surface_key(F.col("surface")).alias("surface"), F.col("entity").alias("entity_id")))
+
+
+@query("""_m AS (SELECT DISTINCT CASE WHEN stratum IN ('click', 'view') THEN 'seen' ELSE stratum END AS stratum, record_key, formulation_id FROM v_covered),
+c AS (SELECT stratum, record_key, count(*) AS k FROM _m GROUP BY stratum, record_key) SELECT stratum, count(*) AS n, count(*) FILTER (k = 1) AS f1, count(*) FILTER (k = 2) AS f2, count(*) FILTER (k > 2) AS more FROM c GROUP BY stratum""", "covered")
+def rekey_strata(spark, d):
+    vote = spark.createDataFrame([("click", "seen"), ("view", "seen")], "surface string, entity_id string")
+    return N.frequency_of_frequencies(E.rekeyed(bound(spark, d, "covered"), vote))
+
+
+@query(f"{_PAIRS}, s AS (SELECT mention_id, CAST(entity AS STRING) AS stratum FROM v_names), u AS (SELECT DISTINCT s.stratum, a, b FROM cp JOIN s ON s.mention_id IN (a, b)) SELECT stratum, count(*) AS pairs FROM u GROUP BY stratum", "names")
+def fragile_by_stratum(spark, d):
+    return E.fragile_pairs(_pairs(spark, d), bound(spark, d, "names").select("mention_id", F.col("entity").cast("string").alias("stratum")))
+
+
+# Claims and checksums
+
+_OK = "NOT (contains(lower(scope) || ' ' || lower(passage), 'debt') OR contains(lower(scope) || ' ' || lower(passage), 'to date')) AND (scope = '' OR contains(lower(scope) || ' ' || lower(passage), 'equity') OR contains(lower(scope) || ' ' || lower(passage), 'round'))"
+_COUNTS = f"""ok AS (SELECT * FROM v_claims WHERE {_OK}), g AS (SELECT stratum, CAST(round_even(value_num, 0) AS BIGINT) AS claimed, count(DISTINCT source_id) AS sources FROM ok WHERE functional = 'COUNT' GROUP BY ALL),
+cb AS (SELECT stratum, claimed, sources, 1 - pow(0.7E0, sources) AS belief FROM g QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY sources DESC, claimed) = 1)"""
+
+
+def _claims(spark, d):
+    return bound(spark, d, "claims").withColumns({"value_num": F.col("value_num").cast("double"), "tolerance": F.col("tolerance").cast("double")})
+
+
+def _counts(spark, d):
+    return C.count_beliefs(C.newest(C.clean(_claims(spark, d))))
+
+
+@query(f"_x AS (SELECT 1) SELECT claim_id, {_OK} AS ok FROM v_claims", "claims")
+def claim_scope(spark, d):
+    return _claims(spark, d).select("claim_id", C.scope_ok(F.col("scope"), F.col("passage")).alias("ok"))
+
+
+@query(f"_x AS (SELECT 1) SELECT count(*) AS claims, round(avg(CASE WHEN {_OK} THEN 0 ELSE 1 END), 9) AS demotion_rate FROM v_claims", "claims")
+def demotion_rate(spark, d):
+    return C.demotion_rate(_claims(spark, d)).select("claims", F.round("demotion_rate", 9).alias("demotion_rate"))
+
+
+@query("t AS (SELECT *, CASE WHEN chain IS NOT NULL THEN max(t_asof) OVER (PARTITION BY stratum, functional, chain) END AS top FROM v_claims) SELECT claim_id FROM t WHERE top IS NULL OR t_asof IS NULL OR t_asof >= top", "claims")
+def claim_asof(spark, d):
+    return C.newest(_claims(spark, d)).select("claim_id")
+
+
+@query(f"{_COUNTS} SELECT stratum, claimed, sources, round(belief, 9) AS belief FROM cb", "claims")
+def claim_corroborate(spark, d):
+    return _counts(spark, d).select("stratum", "claimed", "sources", F.round("belief", 9).alias("belief"))
+
+
+@query(f"{_COUNTS} SELECT stratum, CASE WHEN round(belief, 9) >= 0.5 THEN claimed END AS brake FROM cb", "claims")
+def brake(spark, d):
+    return C.brakes(_counts(spark, d))
+
+
+@query()
+def sum_claim_groups(spark, d):
+    return C.leader_groups(C.clean(_claims(spark, d)))
+
+
+_CHECK = f"{_SUMS}, {_COUNTS}, chk AS (SELECT s.stratum, n, claimed, belief, CASE WHEN claimed IS NULL THEN 'none' WHEN n < claimed THEN 'gap' WHEN n > claimed THEN 'conflict:found_more_than_claimed' ELSE 'certified' END AS outcome, CASE WHEN n < claimed THEN claimed - n END AS gap, total FROM sums s LEFT JOIN cb USING (stratum))"
+
+
+def _checked(spark, d):
+    cover = R.stratum_sums(_amounts(spark, d)).select("stratum", "n", F.lit(0.0).alias("chao"), F.lit(False).alias("fragile"))
+    return C.count_checksum(cover, _counts(spark, d))
+
+
+@query(f"{_CHECK} SELECT stratum, n, claimed, round(belief, 9) AS belief, outcome, gap FROM chk", "mentions", "claims")
+def checksum(spark, d):
+    return _checked(spark, d).withColumn("belief", F.round("belief", 9))
+
+
+@query(f"{_CHECK} SELECT stratum, CASE WHEN outcome = 'certified' AND hash_ THEN 'REVOKE' WHEN outcome = 'certified' THEN 'KEEP' WHEN hash_ THEN 'KEEP' ELSE 'KEEP' END AS action FROM (SELECT *, stratum LIKE '%7' AS hash_ FROM chk)", "mentions", "claims")
+def revalidate(spark, d):
+    c = _checked(spark, d)
+    after = c.withColumn("outcome", F.when(F.col("stratum").endswith("7") & (F.col("outcome") == "certified"), "gap").otherwise(F.col("outcome")))
+    return C.revalidated(c, after)
+
+
+# Reports
+
+_REPORT = f"{_CHECK}, g AS (SELECT stratum, n, total, CASE WHEN outcome = 'certified' THEN 'COUNT' WHEN outcome = 'gap' THEN 'STATISTICAL' ELSE 'ABANDONED' END AS regime, belief FROM chk), rp AS (SELECT *, CASE regime WHEN 'COUNT' THEN 1 - belief WHEN 'STATISTICAL' THEN 0.1 END AS eps_c FROM g)"
+
+
+def _report(spark, d):
+    t = R.stratum_sums(_amounts(spark, d)).select("stratum", "total")
+    c = _checked(spark, d).join(t, "stratum")
+    regime = F.when(F.col("outcome") == "certified", "COUNT").when(F.col("outcome") == "gap", "STATISTICAL").otherwise("ABANDONED")
+    return R.two_term(c.select("stratum", "n", "total", regime.alias("regime"), "belief", F.lit(0.0).alias("delta_plus")))
+
+
+@query(f"{_REPORT} SELECT stratum, n, round(total, 2) AS total, regime, round(eps_c, 9) AS eps_c, round(total * (eps_c + 0.15), 2) AS halfwidth FROM rp", "mentions", "claims")
+def two_term_report(spark, d):
+    return _report(spark, d).select("stratum", "n", F.round("total", 2).alias("total"), "regime", F.round("eps_c", 9).alias("eps_c"), F.round("halfwidth", 2).alias("halfwidth"))
+
+
+@query(f"{_REPORT} SELECT count(*) AS groups, round(sum(total), 2) AS total, round(sum(eps_c * total) / sum(total), 6) AS eps_c, round(sum(total * (eps_c + 0.15)), 0) AS halfwidth FROM rp WHERE eps_c IS NOT NULL", "mentions", "claims")
+def global_interval(spark, d):
+    return R.global_line(_report(spark, d)).select("groups", F.round("total", 2).alias("total"), F.round("eps_c", 6).alias("eps_c"), F.round("halfwidth", 0).alias("halfwidth"))
+
+
+@query(f"{_BELIEF} SELECT round(sum(value), 4) AS total, round(1.96 * sqrt(sum(value * value * pow(1 - belief, 2))), 4) AS value_part, round(0.1 * avg(value), 6) AS join_part, round(0.05 * sum(value), 4) AS recall_part FROM a", "cells")
+def three_part_ci(spark, d):
+    a = B.adopted(_beliefs(spark, d)).select(F.col("value").cast("double").alias("value"), "belief")
+    return R.three_part(a).select(F.round("total", 4).alias("total"), F.round("value_part", 4).alias("value_part"), F.round("join_part", 6).alias("join_part"), F.round("recall_part", 4).alias("recall_part"))
+
+
+@query(f"""{_BELIEF}, m AS (SELECT 'value' AS kind, CAST(cell AS STRING) AS subject, round(value * (1 - belief), 6) AS gain FROM a WHERE belief < 0.7) SELECT * FROM m ORDER BY gain DESC, kind, subject LIMIT 5""", "cells")
+def verify_menu(spark, d):
+    a = B.adopted(_beliefs(spark, d)).select(F.col("cell").alias("record"), F.col("value").cast("double").alias("value"), F.col("belief"), F.lit(0).alias("n_dead"))
+    none = spark.createDataFrame([], "stratum string")
+    return R.menu(a, none).select("kind", "subject", F.round("drop", 6).alias("gain"))
+
+
+# Gate and audit
+
+@query("""a AS (SELECT l_orderkey, l_partkey, value, conf, row_number() OVER (PARTITION BY l_orderkey, l_partkey, value ORDER BY id) AS n FROM v_reader_a),
+b AS (SELECT l_orderkey, l_partkey, value, conf, row_number() OVER (PARTITION BY l_orderkey, l_partkey, value ORDER BY id) AS n FROM v_reader_b)
+SELECT l_orderkey, l_partkey, value, CASE WHEN b.conf IS NULL THEN 'a_only' WHEN a.conf IS NULL THEN 'b_only' ELSE 'agreed' END AS status, round(least(a.conf, b.conf), 9) AS conf FROM a FULL JOIN b USING (l_orderkey, l_partkey, value, n)""", "reader_a", "reader_b")
+def ab_agreement(spark, d):
+    return gate.agreement(bound(spark, d, "reader_a"), bound(spark, d, "reader_b"), ["l_orderkey", "l_partkey", "value"]).withColumn("conf", F.round("conf", 9))
+
+
+_THAT = "t AS (SELECT count(*) AS n, list_sort(list(score))[CAST(least(count(*), ceil(0.95 * (count(*) + 1))) AS BIGINT)] AS t_hat FROM v_scores)"
+
+
+@query(f"{_THAT} SELECT n, round(t_hat, 9) AS t_hat FROM t", "scores")
+def conformal_threshold(spark, d):
+    return gate.threshold(bound(spark, d, "scores")).select("n", F.round("t_hat", 9).alias("t_hat"))
+
+
+@query(f"{_THAT} SELECT id, 1 - conf <= t_hat AS accepted FROM v_scores, t", "scores")
+def conformal_accept(spark, d):
+    s = bound(spark, d, "scores")
+    return gate.accepted(s, gate.threshold(s)).select("id", "accepted")
+
+
+@query()
+def audit_sample(spark, d):
+    return gate.audit_stripes(bound(spark, d, "scores"), 5).select("id", "stripe")
+
+
+# Truth and certificates
+
+_CHAINS = """l AS (SELECT accession AS a, previous AS b FROM v_filings WHERE previous IS NOT NULL UNION SELECT previous, accession FROM v_filings WHERE previous IS NOT NULL),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), root AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+f AS (SELECT v.*, least(v.accession, coalesce(root.b, v.accession)) AS root FROM v_filings v LEFT JOIN root ON root.a = v.accession),
+ch AS (SELECT entity, root, arg_max(amount, (filing_date, accession)) AS amount, min(first_sale) AS first_sale, count(*) AS n_filings, count(DISTINCT amount) - 1 AS snapshots FROM f GROUP BY entity, root)"""
+
+
+@query(f"{_CHAINS} SELECT entity, root, CAST(amount AS DOUBLE) AS amount, first_sale, n_filings, snapshots FROM ch", "filings")
+def chain_collapse(spark, d):
+    c = T.collapsed_chains(bound(spark, d, "filings").withColumn("amount", F.col("amount").cast("double")))
+    return c.select("entity", "root", "amount", "first_sale", "n_filings", F.size("snapshots").cast("bigint").alias("snapshots"))
+
+
+@query(f"{_CHAINS} SELECT entity, CAST(sum(amount) AS DOUBLE) AS true_sum, count(*) AS true_count FROM ch GROUP BY entity", "filings")
+def truth_sums(spark, d):
+    return T.truth_sums(chain_collapse(spark, d))
+
+
+_LOSS = "ls AS (SELECT entity, least(1.0E0, (abs(sum(CASE WHEN true_amount IS NOT NULL THEN amount ELSE 0 END) - sum(coalesce(true_amount, 0))) + sum(CASE WHEN true_amount IS NULL THEN amount ELSE 0 END)) / max(true_sum)) AS loss FROM v_graded GROUP BY entity)"
+
+
+def _losses(spark, d):
+    g = bound(spark, d, "graded")
+    return T.fidelity_loss(g.withColumns({c: F.col(c).cast("double") for c in ("amount", "true_amount", "true_sum")}))
+
+
+@query(f"{_LOSS} SELECT entity, round(loss, 9) AS loss FROM ls", "graded")
+def fidelity_loss(spark, d):
+    return _losses(spark, d).select("entity", F.round("loss", 9).alias("loss"))
+
+
+@query(f"{_LOSS}, m AS (SELECT avg(loss) AS mean, count(*) AS n FROM ls) SELECT n, round(mean, 9) AS mean, round(CASE WHEN mean < 0.2 THEN exp(-2 * n * pow(0.2 - mean, 2)) ELSE 1 END, 9) AS p FROM m", "graded")
+def hoeffding(spark, d):
+    m = _losses(spark, d).agg(F.avg("loss").alias("mean"), F.count("*").alias("n"))
+    return m.select("n", F.round("mean", 9).alias("mean"), F.round(T.hoeffding(F.col("mean"), F.col("n"), 0.2), 9).alias("p"))
+
+
+@query(f"{_LOSS}, g AS (SELECT c.c AS config, avg(least(1, loss * c.c)) AS m, count(*) AS n FROM ls, (VALUES (1), (2), (3), (4)) c(c) GROUP BY c.c), p AS (SELECT config, m, CASE WHEN m < 0.2 THEN exp(-2 * n * pow(0.2 - m, 2)) ELSE 1 END AS p FROM g) SELECT config, round(m, 9) AS mean_loss, round(p, 9) AS p, bool_and(p <= 0.05) OVER (ORDER BY config) AS certified FROM p", "graded")
+def ltt_sequence(spark, d):
+    c = spark.createDataFrame([(1,), (2,), (3,), (4,)], "config int")
+    grid = _losses(spark, d).join(F.broadcast(c)).withColumn("loss", F.least(F.lit(1.0), F.col("loss") * F.col("config")))  # four settings
+    return T.fixed_sequence(grid, 0.2).select("config", F.round("mean_loss", 9).alias("mean_loss"), F.round("p", 9).alias("p"), "certified")
+
+
+@query("_x AS (SELECT 1) SELECT a.entity, a.accession AS a, b.accession AS b FROM v_filings a JOIN v_filings b ON a.entity = b.entity AND a.accession < b.accession WHERE abs(a.amount - b.amount) / greatest(abs(a.amount), abs(b.amount)) <= 0.1", "filings")
+def close_amounts(spark, d):
+    return T.close_amounts(bound(spark, d, "filings").select("entity", F.col("accession").alias("key"), F.col("amount").cast("double").alias("amount")))
+
+
+@query()
+def truth_align_tol(spark, d):
+    g = bound(spark, d, "graded")
+    found = g.select("entity", F.col("record").alias("id"), F.col("amount").cast("double").alias("amount"))
+    return T.aligned_by_amount(found, g.where("true_amount is not null").select("entity", F.col("record").alias("key"), F.col("true_amount").cast("double").alias("amount")))
+
+
+@query("k AS (SELECT entity, CAST(year(filing_date) AS STRING) AS key, accession AS id, amount FROM v_filings), t AS (SELECT entity, key, max(amount) AS m FROM k GROUP BY entity, key), n AS (SELECT *, row_number() OVER (PARTITION BY entity, key ORDER BY id) AS r FROM k) SELECT entity, key, id, CAST(amount AS DOUBLE) AS amount, CAST(CASE WHEN r = 1 THEN m END AS DOUBLE) AS true_amount FROM n JOIN t USING (entity, key)", "filings")
+def truth_align_key(spark, d):
+    k = bound(spark, d, "filings").select("entity", F.year("filing_date").cast("string").alias("key"), F.col("accession").alias("id"), F.col("amount").cast("double").alias("amount"))
+    return T.aligned_by_key(k, k.select("entity", "key", "amount"))
+
+
+# Streams
+
+@query()
+def stream_occasions(spark, d):
+    from ledgerloom.streaming.occasions import replay
+
+    return replay(spark, f"{d}/events.parquet")
