@@ -28,6 +28,13 @@ def as_int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a task derives from a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Forest:
     """Union-find over hashable nodes; a root is its tree's least node."""
 
@@ -59,7 +66,7 @@ def summed(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             cells += np.bincount(slots(batch), minlength=size)
         if cells.any():
             pack = zstandard.ZstdCompressor(level=1).compress
@@ -81,4 +88,4 @@ def summed(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: i
     return out.reshape(-1)
 
 
-__all__ = ["WORD", "Forest", "as_int64", "narrow", "stored", "summed", "table", "F", "pa", "np"]
+__all__ = ["WORD", "Forest", "as_int64", "narrow", "pieces", "stored", "summed", "table", "F", "pa", "np"]

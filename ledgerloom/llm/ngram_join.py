@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import Forest, as_int64, narrow, stored, summed
+from ledgerloom.llm.common import Forest, narrow, pieces, stored, summed
 from ledgerloom.operators.graph import connected_components
 
 #: Cells of the table of shingle counts (8 MB in a task, 1 MB of levels in a broadcast).
@@ -94,7 +94,7 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             k1, k2, ns, gids, prefixes, bits = [], [], [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
