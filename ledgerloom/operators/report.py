@@ -44,13 +44,13 @@ def three_part(records: DataFrame, eps_er: float = 0.05, eps_recall: float = 0.0
     return a.withColumn("halfwidth", F.col("value_part") + F.col("join_part") + F.col("recall_part"))
 
 
-def menu(records: DataFrame, conflicts: DataFrame, length: int = MENU) -> DataFrame:
+def menu(records: DataFrame, conflicts: DataFrame, length: int = MENU, floor: float = BELIEF_FLOOR) -> DataFrame:
     """The checks by a person that would narrow the answer most.
 
     ``records(record, value, belief, n_dead)`` give weak values and values that
     rest on supersessions, ``conflicts(stratum)`` come first of all.
     """
-    weak = records.where(F.col("belief") < BELIEF_FLOOR).select(F.lit("value").alias("kind"), F.col("record").cast("string").alias("subject"), (F.col("value") * (1 - F.col("belief"))).alias("drop"))
+    weak = records.where(F.col("belief") < floor).select(F.lit("value").alias("kind"), F.col("record").cast("string").alias("subject"), (F.col("value") * (1 - F.col("belief"))).alias("drop"))
     dead = records.where("n_dead > 0").select(F.lit("supersession").alias("kind"), F.col("record").cast("string").alias("subject"), (F.col("value") * SUPERSESSION_WEIGHT).alias("drop"))
     first = conflicts.select(F.lit("conflict").alias("kind"), F.col("stratum").alias("subject"), F.lit(float("inf")).alias("drop"))
     return first.unionByName(weak).unionByName(dead).orderBy(F.desc("drop"), "kind", "subject").limit(length)

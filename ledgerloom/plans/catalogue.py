@@ -546,7 +546,7 @@ def revalidate(spark, d):
 
 # Reports
 
-_REPORT = f"{_CHECK}, g AS (SELECT stratum, n, total, CASE WHEN outcome = 'certified' THEN 'COUNT' WHEN outcome = 'gap' THEN 'STATISTICAL' ELSE 'ABANDONED' END AS regime, belief FROM chk), rp AS (SELECT *, CASE regime WHEN 'COUNT' THEN 1 - belief WHEN 'STATISTICAL' THEN 0.1 END AS eps_c FROM g)"
+_REPORT = f"{_CHECK}, gr AS (SELECT stratum, n, total, CASE WHEN outcome = 'certified' THEN 'COUNT' WHEN outcome = 'gap' THEN 'STATISTICAL' ELSE 'ABANDONED' END AS regime, belief FROM chk), rp AS (SELECT *, CASE regime WHEN 'COUNT' THEN 1 - belief WHEN 'STATISTICAL' THEN 0.1 END AS eps_c FROM gr)"
 
 
 def _report(spark, d):
@@ -556,9 +556,9 @@ def _report(spark, d):
     return R.two_term(c.select("stratum", "n", "total", regime.alias("regime"), "belief", F.lit(0.0).alias("delta_plus")))
 
 
-@query(f"{_REPORT} SELECT stratum, n, round(total, 2) AS total, regime, round(eps_c, 9) AS eps_c, round(total * (eps_c + 0.15), 2) AS halfwidth FROM rp", "mentions", "claims")
+@query(f"{_REPORT} SELECT stratum, n, round(total, 2) AS total, regime, round(eps_c, 9) AS eps_c, round(total * (eps_c + 0.15), 4) AS halfwidth FROM rp", "mentions", "claims")
 def two_term_report(spark, d):
-    return _report(spark, d).select("stratum", "n", F.round("total", 2).alias("total"), "regime", F.round("eps_c", 9).alias("eps_c"), F.round("halfwidth", 2).alias("halfwidth"))
+    return _report(spark, d).select("stratum", "n", F.round("total", 2).alias("total"), "regime", F.round("eps_c", 9).alias("eps_c"), F.round("halfwidth", 4).alias("halfwidth"))
 
 
 @query(f"{_REPORT} SELECT count(*) AS groups, round(sum(total), 2) AS total, round(sum(eps_c * total) / sum(total), 6) AS eps_c, round(sum(total * (eps_c + 0.15)), 0) AS halfwidth FROM rp WHERE eps_c IS NOT NULL", "mentions", "claims")
@@ -572,11 +572,11 @@ def three_part_ci(spark, d):
     return R.three_part(a).select(F.round("total", 4).alias("total"), F.round("value_part", 4).alias("value_part"), F.round("join_part", 6).alias("join_part"), F.round("recall_part", 4).alias("recall_part"))
 
 
-@query(f"""{_BELIEF}, m AS (SELECT 'value' AS kind, CAST(cell AS STRING) AS subject, round(value * (1 - belief), 6) AS gain FROM a WHERE belief < 0.7) SELECT * FROM m ORDER BY gain DESC, kind, subject LIMIT 5""", "cells")
+@query(f"""{_BELIEF}, m AS (SELECT 'value' AS kind, CAST(cell AS STRING) AS subject, round(value * (1 - belief), 6) AS gain FROM a WHERE belief < 0.995) SELECT * FROM m ORDER BY gain DESC, kind, subject LIMIT 5""", "cells")
 def verify_menu(spark, d):
     a = B.adopted(_beliefs(spark, d)).select(F.col("cell").alias("record"), F.col("value").cast("double").alias("value"), F.col("belief"), F.lit(0).alias("n_dead"))
     none = spark.createDataFrame([], "stratum string")
-    return R.menu(a, none).select("kind", "subject", F.round("drop", 6).alias("gain"))
+    return R.menu(a, none, floor=0.995).select("kind", "subject", F.round("drop", 6).alias("gain"))
 
 
 # Gate and audit
