@@ -60,6 +60,28 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(left, half, rng), split_quotas(quotas - left, shards - half, rng)])
 
 
+def _fill(sizes: np.ndarray, room: float, seed: list[int], orders: int = 64) -> tuple[float, list[int], int | None]:
+    """Words left, blocks drawn and the block to cut: blocks in a random order as long as they fit.
+
+    Of a few orders the one that fills best is taken, which matters where a
+    source has few documents; one in a thousand left is good enough.
+    """
+    best: tuple[float, list[int], int | None] | None = None
+    for k in range(orders):
+        left, drawn_, large = room, [], []
+        for b in np.random.default_rng([*seed, 2, k]).permutation(BLOCKS).tolist():
+            if sizes[b] <= left:
+                drawn_.append(b)
+                left -= int(sizes[b])
+            else:
+                large.append((int(sizes[b]), b))
+        if best is None or left < best[0]:
+            best = left, drawn_, min(large)[1] if large and left > 0 else None
+        if best[0] <= 0.001 * room:
+            break
+    return best
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -90,18 +112,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plans = []
     for i, (s, t) in enumerate(zip(names, want)):
         n, total = sums[s], int(sums[s].sum())
-        order = np.random.default_rng([seed, i]).permutation(BLOCKS)
         passes = int(t // total) if total else 0
-        left, draws, edge = t - passes * total, [(int(b), e) for e in range(passes) for b in order], None
-        large = []
-        for b in order if total and left > 0 else []:
-            if n[b] <= left:
-                draws.append((int(b), passes))
-                left -= int(n[b])
-            else:
-                large.append((int(n[b]), int(b)))
-        if large and left > 0:
-            edge = min(large)[1]
+        left, extra, edge = _fill(n, t - passes * total, [seed, i]) if total else (0.0, [], None)
+        draws = [(b, e) for e in range(passes) for b in range(BLOCKS)] + [(b, passes) for b in extra]
         plans.append({"source": s, "size": total, "target": t, "passes": passes, "draws": draws, "edge": edge, "left": left})
     _cut_edges(d, plans)
 
