@@ -37,69 +37,150 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(t, DELETED, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _tokens(words: Column) -> Column:
-    """(value, template) of each word: #num, #unit, #name, or the lower-cased word."""
+def _need(n: Column) -> Column:
+    """Least literal tokens of a benchmark window of n tokens."""
+    return F.least(F.lit(LITERAL), F.greatest(F.lit(1), n - 1))
 
-    def token(w: Column, i: Column) -> Column:
-        core = F.btrim(w, F.lit(_TRIM))
-        low = F.lower(core)
-        begins = (i == 0) | F.get(words, i - 1).rlike(r"[.!?]$")
-        name = (F.length(core) > 1) & (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (F.substr(core, F.lit(2)) == F.substr(low, F.lit(2)))
-        kind = F.when(core.rlike("[0-9]"), "#num").when(low.isin(UNITS), "#unit").when(name & ~begins, "#name").otherwise(low)
-        return F.struct(low.alias("v"), kind.alias("t"))
 
-    return F.filter(F.transform(words, token), lambda x: x["v"] != "")
+def _templates(df: DataFrame) -> DataFrame:
+    """Adds to a table with ``text`` the values ``v`` and templates (#num, #unit, #name, or the lower-cased word): ``t``, where a sentence's first word is a literal, and ``u``, where it is a name if it can be one."""
 
+    def kind(core: Column, low: Column) -> Column:
+        name = (core != low) & (F.length(core) > 1) & (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (F.substr(core, F.lit(2)) == F.substr(low, F.lit(2)))
+        return F.when(core.rlike("[0-9]"), "#num").when(low.isin(UNITS), "#unit").when(name, "#name").otherwise(low)
 
-def _windows(t: Column, k: int) -> Column:
-    """Hashes of the windows of k templates; of fewer, the whole sequence is one."""
-    n = F.size(t)
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, F.lit(k)))))
+    def token(kind: Column, i: Column) -> Column:
+        begins = (i == 0) | F.get("_w", i - 1).rlike(r"[.!?]$")
+        return F.struct(F.get("_l", i).alias("v"), F.when((kind == "#name") & begins, "#open").otherwise(kind).alias("k"))
 
-
-def _templates(df: DataFrame, k: int) -> DataFrame:
-    """Adds ``v`` and ``t`` (values and templates) and ``w`` (window hashes) to a table with ``text``."""
-    df = df.withColumn("_w", _words(F.col("text"))).withColumn("_t", _tokens(F.col("_w")))
-    # posexplode_outer is used on w: the plain one infers a filter that repeats all of this below itself.
+    # One column a step: inside a lambda every use of a word would trim and lower it again.
+    kept = [c for c in df.columns if c != "text"]
+    df = df.withColumn("_w", _words(F.col("text"))).withColumn("_c", F.transform("_w", lambda w: F.btrim(w, F.lit(_TRIM)))).withColumn("_l", F.transform("_c", F.lower))
+    df = df.withColumn("_t", F.filter(F.transform(F.zip_with("_c", "_l", kind), token), lambda x: x["v"] != ""))
     # Arrays of plain values: a field of an array of structs would be drawn out anew for every window.
-    return df.select(*(c for c in df.columns if c not in ("_w", "_t", "text")), F.transform("_t", lambda x: x["v"]).alias("v"), F.transform("_t", lambda x: x["t"]).alias("t")).withColumn("w", _windows(F.col("t"), k))
+    pick = lambda f: F.transform("_t", f)
+    return df.select(*kept, pick(lambda x: x["v"]).alias("v"), pick(lambda x: F.when(x["k"] == "#open", x["v"]).otherwise(x["k"])).alias("t"), pick(lambda x: F.when(x["k"] == "#open", "#name").otherwise(x["k"])).alias("u"))
+
+
+def _hashed(df: DataFrame, source: str, lengths: list[int], out: str) -> DataFrame:
+    """Adds ``{out}{n}``: at each token the hash of the n templates from it; at the last n - 1, of the fewer left, which no benchmark window has.
+
+    Hashes of 2, 4, ... templates are made of two of half the length, the others of these: no window is cut out.
+    """
+    spans = {1: f"{out}1"}
+    df = df.withColumn(spans[1], F.transform(source, lambda x: F.xxhash64(x)))
 
+    def joined(x: str, y: str, by: int) -> Column:
+        return F.zip_with(F.col(x), F.slice(F.col(y), F.lit(by + 1), F.greatest(F.size(y), F.lit(1))), lambda p, q: F.xxhash64(p, q))
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", k: int = K, literal: int = LITERAL) -> DataFrame:
-    """``item_id, ipos, h, iv, it, windows``: an item's windows with enough literal tokens, and how many it has."""
-    b = _templates(narrow(benchmark, item_id=item_col, text=text_col).where(F.col("text").isNotNull()).distinct(), k)
-    b = b.select("item_id", "v", "t", F.posexplode_outer("w").alias("ipos", "h"))
-    b = b.select("item_id", "ipos", "h", F.slice("v", F.col("ipos") + 1, k).alias("iv"), F.slice("t", F.col("ipos") + 1, k).alias("it"))
-    b = b.where(F.size(F.filter("it", lambda x: ~x.startswith("#"))) >= F.least(F.lit(literal), F.greatest(F.lit(1), F.size("it") - 1)))
-    return b.withColumn("windows", F.expr("count(*) over (partition by item_id)"))
+    def span(df: DataFrame, n: int) -> DataFrame:
+        if n in spans:
+            return df
+        high = 1 << (n.bit_length() - 1)
+        high = high // 2 if high == n else high
+        df = span(span(df, high), n - high)
+        spans[n] = f"{out}{n}"
+        return df.withColumn(spans[n], joined(spans[high], spans[n - high], high))
+
+    for n in lengths:
+        df = span(df, n)
+    return df
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """``item_id, ipos, reading, n, h, iv, it, windows, strongs``: an item's windows of n tokens, how many it has and how many have enough literal tokens.
+
+    A window is in the table once for each reading: ``t`` and ``u`` as in _templates, ``s`` is ``u`` but with the item's first
+    token a literal. One with too few literal tokens is left out.
+    """
+    b = _templates(narrow(benchmark, item_id=item_col, text=text_col).where(F.col("text").isNotNull()).distinct())
+    b = b.where(F.exists("t", lambda x: ~x.startswith("#"))).withColumn("n", F.least(F.size("v"), F.lit(k)))
+    b = b.withColumn("s", F.transform("u", lambda x, i: F.when(i == 0, F.get("t", i)).otherwise(x)))
+    for r in "tus":
+        b = _hashed(b, r, list(range(1, k + 1)), f"{r}_")
+    at = lambda r: F.coalesce(*(F.when(F.col("n") == n, F.get(f"{r}_{n}", F.col("ipos"))) for n in range(1, k + 1)))
+    b = b.select("*", F.explode(F.sequence(F.lit(0), F.size("v") - F.col("n"))).alias("ipos"))
+    cut = lambda c: F.slice(c, F.col("ipos") + 1, F.col("n"))
+    literal = lambda x: F.size(F.filter(x, lambda y: ~y.startswith("#"))) >= _need(F.col("n"))
+    b = b.select("item_id", "ipos", "n", cut("v").alias("iv"), *(x for r in "tus" for x in (cut(r).alias(r), at(r).alias(f"h{r}"))))
+    b = b.withColumn("strong", literal(F.col("t")))
+    row = lambda r, h, t: F.struct(F.lit(r).alias("reading"), h.alias("h"), t.alias("it"))
+    t, u, s = F.col("t"), F.col("u"), F.col("s")
+    rows = F.array(
+        F.when(F.col("strong"), row("t", F.col("ht"), t)),
+    )
+    one = "over (partition by item_id)"
+    b = b.withColumn("windows", F.expr(f"count_if(strong) {one}")).withColumn("strongs", F.expr(f"count_if(strong) {one}"))
+    return b.select("item_id", "ipos", "n", "iv", "windows", "strongs", F.explode(F.array_compact(rows)).alias("r")).select("*", "r.*").drop("r")
+
+
+def _document_windows(docs: DataFrame, by_template: list[int], by_value: list[int]) -> DataFrame:
+    """Adds ``w``: for each length of window, hashes at each token, so that an entry's place modulo the tokens is its position."""
+    d = _templates(docs)
+    for r in "tu":
+        d = _hashed(d, r, by_template, f"{r}_")
+    parts = [F.col(f"t_{n}") for n in by_template]
+    # By values only the windows that have as few literal tokens as the benchmark's that are looked for so.
+    slots = F.size(F.filter("t", lambda x: x.startswith("#")))
+    for n in by_value:
+        few = lambda x: F.size(F.filter(x, lambda y: ~y.startswith("#"))) < _need(F.lit(n))  # noqa: B023, E731
+        values = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.when(few(F.slice("t", i, F.lit(n))), F.xxhash64(F.slice("v", i, F.lit(n)))))  # noqa: B023
+        parts.append(F.when(slots > n - _need(F.lit(n)), values).otherwise(F.array_repeat(F.lit(None).cast("bigint"), F.size("v"))))
+    return d.select("doc_id", "text_hash", "v", F.concat(*parts).alias("w"))
+
+
+def _consistent(rows: Column) -> Column:
+    """The rows, or none if a slot's value has two others or two have one."""
+    pairs = F.array_distinct(F.flatten(F.transform(rows, lambda r: r["slots"])))
+    bad = F.filter(pairs, lambda p: F.exists(pairs, lambda q: (p["i"] == q["i"]) != (p["d"] == q["d"])))
+    return F.filter(rows, lambda r: F.size(bad) == 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, enough: int = ENOUGH) -> DataFrame:
     """``doc_id, text_hash, item_id, matched, windows, renamed`` of each document and item that it leaks.
 
     matched: the item's windows found on consistent diagonals; a leak needs
-    ``enough`` of them or half of the item's, whichever is less. renamed: some
-    slot has another value than the item's. Null and empty texts leak nothing;
-    items without text, or of placeholders only, can't be leaked. An item of
-    fewer than k tokens is one window, matched by documents of just those
-    tokens. Rows with the same id and text count once; null ids stay null.
+    ``enough`` of them or half of the item's, whichever is less. Where the
+    windows with enough literal tokens prove it as written, these alone are
+    matched and windows; else all windows and readings are. renamed: some
+    slot has another value than the item's. Null and empty texts leak nothing; items without
+    text, or of placeholders only, can't be leaked. An item of fewer than k
+    tokens is one window, looked for at every place of a document. Rows with the same id
+    and text count once; null ids stay null.
     """
     spark = docs.sparkSession
     b = benchmark_windows(benchmark, item_col, item_text_col, k)
-    small = b.limit(BROADCAST + 1).count() <= BROADCAST
+    # At most k lengths, each in two ways.
+    kinds = b.groupBy("n", (F.col("reading") == "v").alias("v")).count().collect()
+    small = sum(r["count"] for r in kinds) <= BROADCAST
+    lengths = [sorted(r.n for r in kinds if r.v == v) for v in (False, True)]
+    if not kinds:
+        lengths = [[k], []]
     text = docs[text_col]
-    d = _templates(narrow(docs, doc_id=id_col, text=text, text_hash=F.xxhash64(text)), k)
-    d = d.select("doc_id", "text_hash", "v", "t", F.posexplode_outer("w").alias("pos", "h"))
+    d = _document_windows(narrow(docs, doc_id=id_col, text=text, text_hash=F.xxhash64(text)), *lengths)
+    # posexplode_outer: the plain one infers a filter that repeats all of this below itself.
+    d = d.select("doc_id", "text_hash", "v", F.posexplode_outer("w").alias("at", "h"))
     # On the 64-bit hash alone, a long key: comparing the windows themselves would either build a key of
     # strings for every window or break the generated code, and a leak needs several hits on one diagonal.
     m = d.join(F.broadcast(b) if small else b, "h")
-    m = m.select("doc_id", "text_hash", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, k).alias("dv"))
+    # With the place in w, whether both sides are read as written: even parts are of templates t.
+    m = m.withColumn("pos", F.col("at") % F.size("v")).withColumn("plain", (F.col("reading") == "t") )
+    m = m.select("doc_id", "text_hash", "item_id", "windows", "strongs", "ipos", "plain", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, F.col("n")).alias("dv"))
     slots = F.transform(F.filter(F.arrays_zip("iv", "dv", "it"), lambda x: x["it"].startswith("#")), lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d")))
-    g = m.groupBy("doc_id", "text_hash", "item_id", "windows", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("s"))
-    once = lambda side: F.size(F.array_distinct(F.transform("s", lambda x: x[side]))) == F.size("s")
-    g = g.where(once("i") & once("d")).withColumn("renamed", F.exists("s", lambda x: x["i"] != x["d"]))
-    g = g.groupBy("doc_id", "text_hash", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.max("renamed").alias("renamed"))
-    return g.where(F.col("matched") >= F.least(F.lit(enough), F.ceil(F.col("windows") / 2))).select("doc_id", "text_hash", "item_id", F.col("matched").cast("bigint").alias("matched"), "windows", "renamed")
+    key = ["doc_id", "text_hash", "item_id", "windows", "strongs"]
+    g = m.groupBy(*key, "diagonal").agg(F.collect_set(F.struct("ipos", "plain", slots.alias("slots"))).alias("rows"))
+    # A name read into a sentence's opening must not spoil what matches as written.
+    g = g.select(*key, _consistent(F.col("rows")).alias("any"), _consistent(F.filter("rows", lambda r: r["plain"])).alias("plain"))
+    at = lambda c: F.transform(c, lambda r: r["ipos"]).alias(f"{c}_at")
+    renamed = lambda c: F.exists(c, lambda r: F.exists(r["slots"], lambda x: x["i"] != x["d"])).alias(f"{c}_renamed")
+    g = g.select(*key, *(f(c) for c in ("any", "plain") for f in (at, renamed)))
+    # What is found as written on one diagonal counts beside what is found by any reading on another.
+    g = g.withColumn("any_at", F.array_union("any_at", "plain_at"))
+    g = g.groupBy(*key).agg(*(x for c in ("any", "plain") for x in (F.size(F.array_distinct(F.flatten(F.collect_list(f"{c}_at")))).cast("bigint").alias(c), F.max(f"{c}_renamed").alias(f"{c}_renamed"))))
+    proves = lambda found, of: (F.col(found) > 0) & (F.col(found) >= F.least(F.lit(enough), F.ceil(F.col(of) / 2)))
+    g = g.withColumn("written", proves("plain", "strongs")).where(F.col("written") | proves("any", "windows"))
+    as_written = lambda x, y: F.when(F.col("written"), F.col(x)).otherwise(F.col(y))
+    return g.select("doc_id", "text_hash", "item_id", as_written("plain", "any").alias("matched"), as_written("strongs", "windows").alias("windows"), as_written("plain_renamed", "any_renamed").alias("renamed"))
 
 
 def leak_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
