@@ -108,6 +108,8 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     t, u, s = F.col("t"), F.col("u"), F.col("s")
     rows = F.array(
         F.when(F.col("strong"), row("t", F.col("ht"), t)),
+        F.when((u != t) & literal(u), row("u", F.col("hu"), u)),
+        F.when((s != t) & (s != u) & literal(s), row("s", F.col("hs"), s)),
     )
     one = "over (partition by item_id)"
     b = b.withColumn("windows", F.expr(f"count_if(strong) {one}")).withColumn("strongs", F.expr(f"count_if(strong) {one}"))
@@ -119,7 +121,8 @@ def _document_windows(docs: DataFrame, by_template: list[int], by_value: list[in
     d = _templates(docs)
     for r in "tu":
         d = _hashed(d, r, by_template, f"{r}_")
-    parts = [F.col(f"t_{n}") for n in by_template]
+    # Under the second reading only the windows that it changes.
+    parts = [x for n in by_template for x in (F.col(f"t_{n}"), F.zip_with(f"t_{n}", f"u_{n}", lambda p, q: F.when(p != q, q)))]
     # By values only the windows that have as few literal tokens as the benchmark's that are looked for so.
     slots = F.size(F.filter("t", lambda x: x.startswith("#")))
     for n in by_value:
@@ -145,7 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     matched and windows; else all windows and readings are. renamed: some
     slot has another value than the item's. Null and empty texts leak nothing; items without
     text, or of placeholders only, can't be leaked. An item of fewer than k
-    tokens is one window, looked for at every place of a document. Rows with the same id
+    tokens is one window, looked for at every place of a document. A capitalised word that
+    opens a sentence is tried as a literal and as a name. Rows with the same id
     and text count once; null ids stay null.
     """
     spark = docs.sparkSession
@@ -164,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # strings for every window or break the generated code, and a leak needs several hits on one diagonal.
     m = d.join(F.broadcast(b) if small else b, "h")
     # With the place in w, whether both sides are read as written: even parts are of templates t.
-    m = m.withColumn("pos", F.col("at") % F.size("v")).withColumn("plain", (F.col("reading") == "t") )
+    m = m.withColumn("pos", F.col("at") % F.size("v")).withColumn("plain", (F.col("reading") == "t") & (F.floor(F.col("at") / F.size("v")) % 2 == 0))
     m = m.select("doc_id", "text_hash", "item_id", "windows", "strongs", "ipos", "plain", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, F.col("n")).alias("dv"))
     slots = F.transform(F.filter(F.arrays_zip("iv", "dv", "it"), lambda x: x["it"].startswith("#")), lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d")))
     key = ["doc_id", "text_hash", "item_id", "windows", "strongs"]

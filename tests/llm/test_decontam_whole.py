@@ -13,3 +13,9 @@ def test_short_item_inside_a_document(spark):
     docs = ["We were asked this. What is the capital of France? Nobody in the room could tell.", "What is the capital of Spain? And so on it went for an hour.", "What is a capital of France?"]
     got = found(spark, docs, ["What is the capital of France?", "one two three"])
     assert [(d, i, m, w) for d, i, m, w, _ in got] == [(0, 0, 1, 1), (1, 0, 1, 1)] and [r[4] for r in got] == [False, True]
+
+
+def test_names_that_open_sentences(spark):
+    maria, ken = "Maria has 12 red apples. Maria buys 7 more.", "Ken bought 4 pens. Ken sold 2 pens. Ken kept the rest. How many did Ken keep?"
+    docs = ["Olga has 15 red apples. Olga buys 9 more.", ken.replace("Ken", "Tom"), "It is said that Maria has 12 red apples. Maria buys 7 more.", "The cat has no red apples. The dog buys none."]
+    assert found(spark, docs, [maria, ken]) == [(0, 0, 2, 2, True), (1, 1, 10, 10, True), (2, 0, 1, 2, False)]
