@@ -91,7 +91,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     """``item_id, ipos, reading, n, h, iv, it, windows, strongs``: an item's windows of n tokens, how many it has and how many have enough literal tokens.
 
     A window is in the table once for each reading: ``t`` and ``u`` as in _templates, ``s`` is ``u`` but with the item's first
-    token a literal. One with too few literal tokens is left out.
+    token a literal. One with too few literal tokens has no templates to tell it: it is there as ``v``, by its values.
     """
     b = _templates(narrow(benchmark, item_id=item_col, text=text_col).where(F.col("text").isNotNull()).distinct())
     b = b.where(F.exists("t", lambda x: ~x.startswith("#"))).withColumn("n", F.least(F.size("v"), F.lit(k)))
@@ -107,12 +107,12 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     row = lambda r, h, t: F.struct(F.lit(r).alias("reading"), h.alias("h"), t.alias("it"))
     t, u, s = F.col("t"), F.col("u"), F.col("s")
     rows = F.array(
-        F.when(F.col("strong"), row("t", F.col("ht"), t)),
+        F.when(F.col("strong"), row("t", F.col("ht"), t)).otherwise(row("v", F.xxhash64("iv"), t)),
         F.when((u != t) & literal(u), row("u", F.col("hu"), u)),
         F.when((s != t) & (s != u) & literal(s), row("s", F.col("hs"), s)),
     )
     one = "over (partition by item_id)"
-    b = b.withColumn("windows", F.expr(f"count_if(strong) {one}")).withColumn("strongs", F.expr(f"count_if(strong) {one}"))
+    b = b.withColumn("windows", F.expr(f"count(*) {one}")).withColumn("strongs", F.expr(f"count_if(strong) {one}"))
     return b.select("item_id", "ipos", "n", "iv", "windows", "strongs", F.explode(F.array_compact(rows)).alias("r")).select("*", "r.*").drop("r")
 
 
@@ -148,7 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     matched and windows; else all windows and readings are. renamed: some
     slot has another value than the item's. Null and empty texts leak nothing; items without
     text, or of placeholders only, can't be leaked. An item of fewer than k
-    tokens is one window, looked for at every place of a document. A capitalised word that
+    tokens is one window, looked for at every place of a document. Windows of
+    few literal tokens count where all values are equal. A capitalised word that
     opens a sentence is tried as a literal and as a name. Rows with the same id
     and text count once; null ids stay null.
     """

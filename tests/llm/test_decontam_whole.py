@@ -19,3 +19,9 @@ def test_names_that_open_sentences(spark):
     maria, ken = "Maria has 12 red apples. Maria buys 7 more.", "Ken bought 4 pens. Ken sold 2 pens. Ken kept the rest. How many did Ken keep?"
     docs = ["Olga has 15 red apples. Olga buys 9 more.", ken.replace("Ken", "Tom"), "It is said that Maria has 12 red apples. Maria buys 7 more.", "The cat has no red apples. The dog buys none."]
     assert found(spark, docs, [maria, ken]) == [(0, 0, 2, 2, True), (1, 1, 10, 10, True), (2, 0, 1, 2, False)]
+
+
+def test_exact_copy_of_few_literals(spark):
+    sums = "Solve 3 x 12 = 36, 4 x 12 = 48."
+    docs = [f"A page of sums. {sums} And there it ends.", sums.replace("36", "37").replace("48", "49")]
+    assert found(spark, docs, [sums]) == [(0, 0, 2, 2, False)]
