@@ -133,19 +133,20 @@ def _document_windows(docs: DataFrame, by_template: list[int], by_value: list[in
 
 
 def _consistent(rows: Column) -> Column:
-    """The rows, or none if a slot's value has two others or two have one."""
+    """The rows without a conflicting slot: one whose value stands for another value, or whose other value stands for it, elsewhere on the diagonal. A value kept as it is never conflicts."""
     pairs = F.array_distinct(F.flatten(F.transform(rows, lambda r: r["slots"])))
-    bad = F.filter(pairs, lambda p: F.exists(pairs, lambda q: (p["i"] == q["i"]) != (p["d"] == q["d"])))
-    return F.filter(rows, lambda r: F.size(bad) == 0)
+    bad = F.filter(pairs, lambda p: (p["i"] != p["d"]) & F.exists(pairs, lambda q: (p["i"] == q["i"]) != (p["d"] == q["d"])))
+    return F.filter(rows, lambda r: ~F.arrays_overlap(r["slots"], bad))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = K, enough: int = ENOUGH) -> DataFrame:
     """``doc_id, text_hash, item_id, matched, windows, renamed`` of each document and item that it leaks.
 
-    matched: the item's windows found on consistent diagonals; a leak needs
+    matched: the item's windows found with consistent slots; a leak needs
     ``enough`` of them or half of the item's, whichever is less. Where the
     windows with enough literal tokens prove it as written, these alone are
-    matched and windows; else all windows and readings are. renamed: some
+    matched and windows; else all windows and readings are. Windows that touch a
+    conflicting slot don't count, the others on the diagonal do. renamed: some
     slot has another value than the item's. Null and empty texts leak nothing; items without
     text, or of placeholders only, can't be leaked. An item of fewer than k
     tokens is one window, looked for at every place of a document. Windows of

@@ -25,3 +25,14 @@ def test_exact_copy_of_few_literals(spark):
     sums = "Solve 3 x 12 = 36, 4 x 12 = 48."
     docs = [f"A page of sums. {sums} And there it ends.", sums.replace("36", "37").replace("48", "49")]
     assert found(spark, docs, [sums]) == [(0, 0, 2, 2, False)]
+
+
+def test_one_altered_value(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(42)]
+    words[4] = words[36] = "5"
+    item = " ".join(words)
+    one = " ".join([*words[:36], "6", *words[37:]])
+    pears = item.replace("5", "7", 1)
+    got = found(spark, [one, pears.replace("7", "6").replace("5", "6")], [item, pears])
+    assert {(d, i) for d, i, *_ in got} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert [r[2:] for r in got if r[:2] == (0, 0)] == [(29, 35, False)]
