@@ -443,16 +443,22 @@ def theta_route(spark, d):
     return _cosines(spark, d).select("a", "b", E.route(t).alias("decision"), F.round(E.edge_weight(t), 5).alias("weight"))
 
 
+def _blocked(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.array(*[E.plane_bucket(F.col("embedding"), 64, b) for b in range(E.BANDS)]).alias("blocks"))
+
+
 @query()
 def lsh_bands(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.array(*[E.plane_bucket(F.col("embedding"), 64, b) for b in range(E.BANDS)]).alias("blocks"))
-    return e.select("mention_id", F.explode("blocks").alias("block"))
+    return _blocked(spark, d).select("mention_id", F.explode("blocks").alias("block"))
 
 
 @query()
 def correlation_cluster(spark, d):
-    names = bound(spark, d, "names").select("mention_id")
-    return E.resolve(names, _cosines(spark, d).select("a", "b", E.edge_weight(F.col("cosine")).alias("w")))
+    """All pairs of vectors that share a block of lsh_bands; vectors, not parts, are clustered."""
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    p = E.candidate_pairs(_blocked(spark, d)).select("a", "b")
+    p = p.join(e.selectExpr("vec_id as a", "embedding as x"), "a").join(e.selectExpr("vec_id as b", "embedding as y"), "b")
+    return E.resolve(e.selectExpr("vec_id as mention_id"), p.select("a", "b", E.edge_weight(E.cosine(F.col("x"), F.col("y"))).alias("w")))
 
 
 @query()
