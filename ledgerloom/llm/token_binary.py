@@ -36,7 +36,7 @@ MAGIC = b"LLPLANE1"
 #: Ids of a chunk.
 BLOCK = 65_536
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _FOOTER = struct.Struct("<qqqq8s8s")
 #: A run of letters that the tokenizer leaves alone, then punctuation that it always parts from them.
@@ -139,6 +139,19 @@ class PlaneReader:
             yield doc_id if known else None, self.ids(first, n)
 
 
+class _Remembered(dict):
+    """Ids as bytes by key; an unknown key is worked out once, and all are forgotten when there are too many."""
+
+    def __init__(self, work) -> None:
+        self.work = work
+
+    def __missing__(self, key):
+        if len(self) > REMEMBERED:
+            self.clear()
+        ids = self[key] = self.work(key)
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that always splits at white space.
 
@@ -153,46 +166,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
         self.mapped = _byte_letters()
+        self.words, self.plain, self.other = _Remembered(self._word), _Remembered(self._plain), _Remembered(self._other)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        words, known = text.encode("utf-8", "surrogatepass").split(), self.whole
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            if len(self.parts) > REMEMBERED:
-                self.parts.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else b""
 
     def _word(self, word: bytes) -> bytes:
-        s = word.decode("utf-8", "replace")
-        low = s if "<" in s else s.translate(_ASCII_LOWER)
-        if m := _PLAIN.match(low):
-            return self._part(m[1], True) + (self._part(m[2], False) if m[2] else b"")
-        return self._part(s, False)
-
-    def _part(self, s: str, plain: bool) -> bytes:
-        ids = self.parts.get(s)
-        if ids is None:
-            if plain:
-                got = [t.id for t in self.tokenizer.model.tokenize(s if s.isascii() else "".join([self.mapped[b] for b in s.encode()]))]
-            else:
-                got = self.tokenizer.encode(s, add_special_tokens=False).ids
-            ids = self.parts[s] = np.array(got, "<u4").tobytes()
-        return ids
+        if b"<" not in word and (m := _PLAIN.match(word.lower().decode("utf-8", "replace"))):
+            letters, marks = m.groups()
+            return self.plain[letters] + self.other[marks] if marks else self.plain[letters]
+        return self.other[word.decode("utf-8", "replace")]
 
+    def _plain(self, s: str) -> bytes:
+        ids = [t.id for t in self.merge(s if s.isascii() else "".join([self.mapped[b] for b in s.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+    def _other(self, s: str) -> bytes:
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _byte_letters() -> list[str]:
@@ -215,13 +208,16 @@ def encoder(path: str) -> WordEncoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, kind: str = "byte", block: int = BLOCK) -> DataFrame:
     """Encode every whole text and write the ids in ascending id order.
 
-    Range-partitions by id, so each file holds an id range and files in order
-    of ``part`` hold all. Returns the manifest: ``part, path, size, n_docs, n_ids``,
+    Range-partitions by id and a hash of the text, so each file holds an id range,
+    files in order of ``part`` hold all, and an id that many rows share (a null one,
+    say) is spread over files. Returns the manifest: ``part, path, size, n_docs, n_ids``,
     a row a file. A null text is empty, an empty one has only the end id; null
     ids come first; repeated rows are written as often as they occur. Ties of
-    id are ordered by text. A task that is lost is run again and replaces its file.
+    id are ordered by that hash, then by text. A task that is lost is run again and
+    replaces its file.
     """
-    d = narrow(docs, doc_id=F.col(id_col).cast("bigint"), text=F.coalesce(F.col(text_col), F.lit("")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = narrow(docs, doc_id=F.col(id_col).cast("bigint"), text=text, h=F.xxhash64(text))
     make_dir(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +237,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "size": [size_of(path)], "n_docs": [len(out.docs) // 4], "n_ids": [out.n_ids]})
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(write, "part long, path string, size long, n_docs long, n_ids long")
+    dealt = d.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return dealt.select("doc_id", "text").mapInArrow(write, "part long, path string, size long, n_docs long, n_ids long")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

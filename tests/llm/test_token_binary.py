@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from ledgerloom.llm.registry import op8_token_binary, vocabulary
-from ledgerloom.llm.token_binary import PlaneReader, PlaneWriter, encoder, from_planes, to_planes, token_binary
+from ledgerloom.llm.token_binary import PlaneReader, PlaneWriter, WordEncoder, encoder, from_planes, to_planes, token_binary, write_tokens
 
 TOKENIZER = vocabulary("word_bpe_49k.json")
 
@@ -63,6 +63,18 @@ def test_documents_against_brute_force(spark):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_null_ids_are_spread(spark, tmp_path):
+    rows = [(None if i % 10 else i, f"word{i} more text") for i in range(1000)]
+    files = write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path), TOKENIZER).collect()
+    assert sum(f.n_docs for f in files) == 1000 and max(f.n_docs for f in files) < 500
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr("ledgerloom.llm.token_binary.REMEMBERED", 2)
+    t = "One two, three four. two THREE one! \u00fcber x<y one"
+    assert np.frombuffer(WordEncoder(TOKENIZER).encode(t), "<u4").tolist() == whole(t)
+
+
 def test_empty_table(spark):
     assert token_binary(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
