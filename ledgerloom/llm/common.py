@@ -24,6 +24,14 @@ def narrow(df: DataFrame, **cols) -> DataFrame:
     return df.select(*(df[c].alias(k) if isinstance(c, str) else c.alias(k) for k, c in cols.items()))
 
 
+def free(names: list[str], want: str) -> str:
+    """``want``, with underscores appended while a column has that name in any case."""
+    taken = {n.lower() for n in names}
+    while want.lower() in taken:
+        want += "_"
+    return want
+
+
 def as_int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
@@ -88,4 +96,4 @@ def summed(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: i
     return out.reshape(-1)
 
 
-__all__ = ["WORD", "Forest", "as_int64", "narrow", "pieces", "stored", "summed", "table", "F", "pa", "np"]
+__all__ = ["WORD", "Forest", "as_int64", "free", "narrow", "pieces", "stored", "summed", "table", "F", "pa", "np"]

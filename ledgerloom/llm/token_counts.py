@@ -16,6 +16,7 @@ The sections' counts always add up to the document's.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm.common import narrow
 
 
+#: White space as the patterns' \\s has it: runs longer than the pattern's machine can go back over.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
+
 class SpanEncoder:
     """Token spans in bytes by a rank file of the tiktoken library."""
 
@@ -33,6 +38,7 @@ class SpanEncoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.looks_ahead = r"\s+(?!\S)" in pattern
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -40,7 +46,22 @@ class SpanEncoder:
 
     def ends(self, text: str) -> np.ndarray:
         """End of each token's bytes in the UTF-8 text."""
-        return np.cumsum(self.length[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.length[np.array(self.ids(text), np.int64)])
+
+    def ids(self, text: str) -> list[int]:
+        """The text's tokens.
+
+        The pattern takes a run of white space as one piece, but for its last
+        character if a word follows, and fails on a run of hundreds of thousands.
+        So a long run is parted from the text there and merged as that piece.
+        """
+        out, at = [], 0
+        for run in _RUN.finditer(text) if self.looks_ahead else ():
+            cut = run.end() - (run.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            out += self.encoding._encode_single_piece(text[run.start() : cut])
+            at = cut
+        return out + self.encoding.encode_ordinary(text[at:])
 
 
 def lines(text: str) -> list[int]:
@@ -82,7 +103,8 @@ def section_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str =
 
     ``sections`` gives the ends of back-to-back sections in characters, the last
     being the text's length. A null or empty text is one empty section without
-    tokens. Repeated rows give repeated sections; null ids stay null.
+    tokens. Repeated rows give repeated sections; null ids stay null. A text of
+    any length, or with any run of white space, is encoded whole.
     """
     if rule not in ("first", "last", "most"):
         raise ValueError(f"no such rule: {rule}")

@@ -66,3 +66,20 @@ def test_registered_query(spark):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
         ends[r.doc_id] = max(ends.get(r.doc_id, 0), r.char_end)
     assert total == {k: len(t.encode(v).ids) for k, v in docs.items()} and ends == {k: len(v) for k, v in docs.items()}
+
+
+def test_long_white_space_splits_as_the_pattern_does(monkeypatch):
+    from ledgerloom.llm import token_counts
+
+    enc = token_counts.encoder(RANKS, PATTERN)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([" ", "\n", "\t", " ", "a", "1", "!", "'s"]) * rng.randrange(1, 9) for _ in range(30)) for _ in range(300)]
+    want = [enc.encoding.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(token_counts, "_RUN", token_counts.re.compile(token_counts._RUN.pattern.replace("50000", "2")))
+    assert [enc.ids(t) for t in texts] == want
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, " \n" * 500_000])
+def test_a_million_blanks(spark, run):
+    got = section_tokens(spark.createDataFrame([(1, f"a{run}b")], "doc_id long, text string"), RANKS, PATTERN, sections=lambda t: [len(t)]).collect()
+    assert len(got) == 1 and got[0].char_end == len(run) + 2 and got[0].n_tokens > 2
