@@ -45,6 +45,7 @@ def opened(path: str):
     return store.open_input_file(p)
 
 
-def size_of(path: str) -> int:
+def size_of(path: str) -> int | None:
+    """None if there is no such file."""
     store, p = _at(path)
     return store.get_file_info(p).size
