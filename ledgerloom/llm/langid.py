@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import narrow
+from ledgerloom.llm.common import free, narrow
 
 #: Trigram cells, and labelled documents that training uses at most (over all languages, evenly).
 CELLS, SAMPLE = 4096, 4000
 PIECE = 1 << 20
+#: Parts of a language whose least hashes are found first.
+SALTS = 64
 
 #: Families of ISO 639-1 languages. A language that stands in none is a family of its own.
 FAMILIES = {
@@ -102,23 +104,36 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A learned language and a score from 0 to 1; ``und`` and 0 without a letter."""
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        m = self.weights @ self._ready(features(text)[None, :])[0] if len(self.weights) else np.empty(0)
-        sure = 1 / (1 + np.exp(-4.0 * np.clip(m, -50, 50)))
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """``predict`` of each text, by one matrix product."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        rows = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
+        if not rows:
+            return out
+        x = self._ready(np.stack([features(texts[i]) for i in rows]))
+        sure = 1 / (1 + np.exp(-4.0 * np.clip(x @ self.weights.T, -50, 50)))
         n = len(self.families) if len(self.families) > 1 else 0
-        family, score = (self.families[i], float(sure[i])) if n and (i := int(np.argmax(m[:n]))) >= 0 else (self.families[0], 1.0)
-        langs = self.members[family]
-        votes = {v: [0, 0.0] for v in langs}
-        for (a, b), s in zip(self.pairs, sure[n:].tolist()):
-            if a in votes:
-                votes[a if s >= 0.5 else b][0] += 1
-                votes[a][1] += s
-                votes[b][1] += 1 - s
-        best = max(langs, key=lambda v: (votes[v][0], votes[v][1]))
-        if len(langs) > 1:
-            score *= votes[best][1] / (len(langs) - 1)
-        return best, min(1.0, max(0.0, score))
+        family = np.argmax(sure[:, :n], axis=1) if n else np.zeros(len(rows), int)
+        score = sure[np.arange(len(rows)), family] if n else np.ones(len(rows))
+        for f in np.unique(family).tolist():
+            own, langs = np.flatnonzero(family == f), self.members[self.families[f]]
+            place = {v: j for j, v in enumerate(langs)}
+            wins, sums = np.zeros((len(own), len(langs)), int), np.zeros((len(own), len(langs)))
+            for j, (a, b) in enumerate(self.pairs):
+                if a in place:
+                    p = sure[own, n + j]
+                    wins[:, place[a]] += p >= 0.5
+                    wins[:, place[b]] += p < 0.5
+                    sums[:, place[a]] += p
+                    sums[:, place[b]] += 1 - p
+            best = np.argmax(wins + sums / (len(langs) + 1), axis=1)  # most wins, then the surest
+            if len(langs) > 1:
+                score[own] *= sums[np.arange(len(own)), best] / (len(langs) - 1)
+            for i, j in zip(own.tolist(), best.tolist()):
+                out[rows[i]] = langs[j], min(1.0, max(0.0, float(score[i])))
+        return out
 
 
 def remainder(id_col: Column, n: int) -> Column:
@@ -129,34 +144,42 @@ def remainder(id_col: Column, n: int) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and language of rows outside the held-out fold.
 
-    The sample has up to ``sample / languages`` documents of each language, by a
-    hash of the id, so the driver gets at most ``sample`` feature vectors of 8 KB.
+    The sample has up to ``sample / languages`` different (id, text) of each
+    language, those of least hash; of more than ``sample / 2`` languages the most
+    frequent ones are learned. So the driver gets at most ``sample`` feature vectors
+    of 8 KB, however many rows share an id or have none. Rows with a null language
+    or text teach nothing; repeated rows count once.
     """
     d = narrow(docs, id=F.col(id_col).cast("bigint"), text=text_col, lang=F.col(lang_col).cast("string"))
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("id"), folds) != held))
-    langs = d.select("lang").distinct().count()
+    langs = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(2, sample // 2)).select("lang").collect()
     if not langs:
         return LanguageModel([], np.empty((0, CELLS), np.float32))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # Chosen by id alone, so the texts of the others are not moved.
-    chosen = d.select("lang", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(2, sample // langs))
-    rows = d.join(F.broadcast(chosen.select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct()), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")))
+    d = d.withColumn("h", F.xxhash64("id", "text"))
+    each = max(2, sample // len(langs))
+    # Chosen by hash alone, so the texts of the others are not moved; first within salted parts of a language.
+    keys = d.select("lang", "h").where(F.col("lang").isin([r.lang for r in langs])).distinct()
+    for part in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("r") <= each).drop("r")
+    rows = d.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(v, i, features(t).astype(np.float16).tobytes()) for v, i, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "id", "x"])
+            got = [(v, h, features(t).astype(np.float16).tobytes()) for v, h, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
 
-    got = sorted(map(tuple, rows.select("lang", "id", "text").mapInArrow(vectors, "lang string, id long, x binary").collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0, bytes(r[2])))
-    x = np.frombuffer(b"".join(bytes(r[2]) for r in got), np.float16).reshape(-1, CELLS).astype(np.float32)
+    got = sorted((r.lang, r.h, bytes(r.x)) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary").toLocalIterator())
+    x = np.frombuffer(b"".join(r[2] for r in got), np.float16).reshape(-1, CELLS).astype(np.float32)
     return LanguageModel([r[0] for r in got], x)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The input's columns and a struct ``language`` of ``lang_pred`` and ``score``, row by row.
+    """The input's columns and, last, a struct of ``lang_pred`` and ``score``, row by row.
 
-    Only the text decides. Null, empty and letterless texts are ``und`` with
-    score 0, as is everything if the model has learned nothing.
+    The struct is named ``language``, with underscores appended where the input
+    has such a column. Only the text decides. Null, empty and letterless texts
+    are ``und`` with score 0, as is everything if the model has learned nothing;
+    repeated rows get the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -164,9 +187,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(texts):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = [x for i in range(0, len(texts), 256) for x in shared.value.predict_all(texts.iloc[i : i + 256].tolist())]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.select(*(docs[c] for c in docs.columns), predict(docs[text_col]).alias("language"))
+    return docs.select("*", predict(docs[text_col]).alias(free(docs.columns, "language")))
 
 
 def language_query(docs: DataFrame) -> DataFrame:

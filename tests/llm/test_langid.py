@@ -47,3 +47,27 @@ def test_edge_rows(spark):
 def test_one_language():
     m = LanguageModel(["en"], np.ones((1, CELLS), np.float32))
     assert m.predict("abc") == ("en", 1.0) and m.predict("1") == ("und", 0.0)
+
+
+def test_shared_ids_and_clashing_names(spark):
+    rows = [(None, f"the cat {i} and the dog", "en", "x") for i in range(400)] + [(None, "der Hund und die Katze", "de", "x")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Language string")
+    seen = []
+    monkey = LanguageModel.__init__
+    LanguageModel.__init__ = lambda self, langs, x: (seen.append(len(langs)), monkey(self, langs, x))[1]
+    try:
+        model = train(df, sample=40)
+    finally:
+        LanguageModel.__init__ = monkey
+    assert seen == [21]
+    found = identify(df, model)
+    assert found.columns == [*df.columns, "language_"]
+    got = found.select("lang", "language_.lang_pred").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
+def test_batches_predict_as_single_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    model = train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for (a, x), (b, y) in zip(model.predict_all([*texts, None]), map(model.predict, [*texts, None])):
+        assert a == b and abs(x - y) < 1e-4
