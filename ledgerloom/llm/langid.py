@@ -88,6 +88,8 @@ class LanguageModel:
         self.families = sorted({family_of(v) for v in self.langs})
         self.members = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
         self.scale = 1 / (x.std(0) + 1e-4) if len(x) else np.ones(CELLS, np.float32)
+        # How much likelier each cell is in a language than in noise, in nats.
+        self.profile = np.log(0.1 + 0.9 * CELLS * np.array([x[y == v].mean(0) for v in self.langs])) if self.langs else np.zeros((0, CELLS))
         x = self._ready(x)
         of = np.array([family_of(v) for v in langs])
         rows = [train_svm(x, np.where(of == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
@@ -103,7 +105,11 @@ class LanguageModel:
         return np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """A learned language and a score from 0 to 1; ``und`` and 0 without a letter."""
+        """A learned language and a score from 0 to 1; ``und`` and 0 without a letter.
+
+        The score is also 0 where the text is no likelier in that language than noise is:
+        every text gets the nearest learned language, also one in a language never seen.
+        """
         return self.predict_all([text])[0]
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -112,7 +118,8 @@ class LanguageModel:
         rows = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
         if not rows:
             return out
-        x = self._ready(np.stack([features(texts[i]) for i in rows]))
+        plain = np.stack([features(texts[i]) for i in rows])
+        x = self._ready(plain)
         sure = 1 / (1 + np.exp(-4.0 * np.clip(x @ self.weights.T, -50, 50)))
         n = len(self.families) if len(self.families) > 1 else 0
         family = np.argmax(sure[:, :n], axis=1) if n else np.zeros(len(rows), int)
@@ -132,7 +139,8 @@ class LanguageModel:
             if len(langs) > 1:
                 score[own] *= sums[np.arange(len(own)), best] / (len(langs) - 1)
             for i, j in zip(own.tolist(), best.tolist()):
-                out[rows[i]] = langs[j], min(1.0, max(0.0, float(score[i])))
+                known = float(plain[i] @ self.profile[self.langs.index(langs[j])]) > 0
+                out[rows[i]] = langs[j], min(1.0, max(0.0, float(score[i]))) if known else 0.0
         return out
 
 
@@ -179,7 +187,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     The struct is named ``language``, with underscores appended where the input
     has such a column. Only the text decides. Null, empty and letterless texts
     are ``und`` with score 0, as is everything if the model has learned nothing;
-    repeated rows get the same answer.
+    a text no likelier in its language than noise scores 0 too; repeated rows get
+    the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

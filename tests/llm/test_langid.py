@@ -71,3 +71,12 @@ def test_batches_predict_as_single_texts(spark):
     model = train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     for (a, x), (b, y) in zip(model.predict_all([*texts, None]), map(model.predict, [*texts, None])):
         assert a == b and abs(x - y) < 1e-4
+
+
+def test_unlearned_languages_score_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train(docs)
+    foreign = ["Привет мир, это русский текст о погоде", "これは日本語の文章です。", "Ovo je recenica na hrvatskom jeziku o vremenu", "qxzj vkqw zzxq jkqz wvvx"]
+    assert [s for _, s in model.predict_all(foreign)] == [0.0] * 4
+    own = [r.text for r in docs.where("lang is not null").collect() if has_letter(r.text)]
+    assert min(s for _, s in model.predict_all(own)) > 0.1
