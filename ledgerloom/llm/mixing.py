@@ -13,7 +13,8 @@ draw, so every shard gets its share of every source and the totals stay exact.
 A shard takes the next of each source's permuted draws, disjoint from all
 others', and orders its documents by a hash of its own.
 
-The driver holds one row a source and block: sources are a small dimension.
+The driver holds one row a source and block, so there may be ``MOST_SOURCES``
+sources at most; more are an error that says so.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import WORD, narrow
+from ledgerloom.llm.common import WORD, free, narrow
 from ledgerloom.storage import stored
 
 #: Blocks of a source, and parts that a block is cut into where only some of it is drawn.
 BLOCKS, PARTS = 256, 4096
 
+#: Sources that the driver plans for: 256 sums each, and a broadcast row of as many lists.
+MOST_SOURCES = 20_000
+
 _OWN = "_ledgerloom_mix"
 
 
@@ -89,9 +93,10 @@ def word_count(text: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 17) -> DataFrame:
     """Every input row with its part in the mix.
 
-    Adds to the input's columns one struct ``mix``: ``size`` (words), ``source_size``,
+    Adds to the input's columns, last, one struct ``mix``: ``size`` (words), ``source_size``,
     ``target`` (its source's), ``taken`` (size times the number of draws) and
     ``draws``, an array of (shard, epoch, place), place ordering a shard's rows.
+    Where the input has a column of that name, underscores are appended.
     Explode the draws for the mix itself (``drawn``).
 
     Weights repeat over the sources in code point order, null last. A null or
@@ -106,6 +111,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums: dict[str | None, np.ndarray] = {}
     for r in d.groupBy("source", "block").agg(F.sum("size").alias("n")).toLocalIterator():
         sums.setdefault(r.source, np.zeros(BLOCKS, np.int64))[r.block] = r.n
+        if len(sums) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
     names = sorted(sums, key=lambda s: (s is None, s or ""))
     want = targets([int(sums[s].sum()) for s in names], [float(weights[i % len(weights)]) for i in range(len(names))], share, most)
 
@@ -136,18 +143,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = spark.createDataFrame(rows, "_s string, _size long, _target double, _where array<array<struct<shard:int,epoch:int>>>, _edge int, _part int, _h long, _last long, _draw struct<shard:int,epoch:int>")
 
     names_in = docs.columns
-    side = docs.select(*(docs[c] for c in names_in), narrow_struct(docs, source_col, text_col, h))
-    joined = side.join(plan, side[_OWN]["source"].eqNullSafe(plan["_s"]), "left")
-    m = side[_OWN]
+    own = free(names_in, _OWN)
+    plan = plan.select(F.struct("*").alias(free([*names_in, own], "_ledgerloom_plan")))
+    side = docs.select("*", narrow_struct(docs, source_col, text_col, h).alias(own))
+    m, plan_col = side[own], plan[plan.columns[0]]
+    joined = side.join(F.broadcast(plan), m["source"].eqNullSafe(plan_col["_s"]), "left")  # a row a source
+    plan = plan_col
     inside = (m["block"] == plan["_edge"]) & ((m["part"] < plan["_part"]) | ((m["part"] == plan["_part"]) & (m["h"] <= plan["_h"])) | (m["h"] == plan["_last"]))
     draws = F.concat(F.get(plan["_where"], m["block"]), F.when(F.coalesce(inside, F.lit(False)), F.array(plan["_draw"])).otherwise(F.array().cast("array<struct<shard:int,epoch:int>>")))
     placed = F.transform(draws, lambda x: F.struct(x["shard"].alias("shard"), x["epoch"].alias("epoch"), F.xxhash64(F.lit(seed), x["shard"], x["epoch"], m["h"]).alias("place")))
     out = F.struct(m["size"].alias("size"), plan["_size"].alias("source_size"), plan["_target"].alias("target"), (m["size"] * F.size(draws)).alias("taken"), placed.alias("draws"))
-    return joined.select(*(side[c] for c in names_in), out.alias("mix"))
+    return joined.withColumn(mixed := free([*names_in, own, "_ledgerloom_plan"], "mix"), out).select(*(side[f"`{c}`"] for c in names_in), mixed)
 
 
 def narrow_struct(docs: DataFrame, source_col: str, text_col: str, h: Column) -> Column:
-    return F.struct(docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), h.alias("h"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"), F.pmod(F.shiftright(h, 8), F.lit(PARTS)).cast("int").alias("part")).alias(_OWN)
+    return F.struct(docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), h.alias("h"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"), F.pmod(F.shiftright(h, 8), F.lit(PARTS)).cast("int").alias("part"))
 
 
 def _cut_edges(d: DataFrame, plans: list[dict]) -> None:
@@ -187,7 +197,22 @@ def _cut_edges(d: DataFrame, plans: list[dict]) -> None:
             p["cut"] = (cut[1], cut[3], more.get(p["source"]))
 
 
-def drawn(mixed: DataFrame) -> DataFrame:
-    """The mix: a row for each draw, with ``shard``, ``epoch`` and ``place``, and the shards shuffled locally."""
-    rows = mixed.withColumn("_d", F.explode("mix.draws")).withColumns({"shard": F.col("_d.shard"), "epoch": F.col("_d.epoch"), "place": F.col("_d.place")}).drop("_d", "mix")
-    return rows.sortWithinPartitions("shard", "place")
+def drawn(mixed: DataFrame, shards: int = 16, per_shard: int = 4) -> DataFrame:
+    """The mix from ``mix``'s result with as many ``shards``: a row for each draw, with ``shard``, ``epoch`` and ``place``, shuffled shard by shard.
+
+    All of a shard's rows come together and are ordered by place, a hash of the
+    draw, so neighbours are of any source. A shard is ``per_shard`` partitions in
+    order, cut at even steps of that hash, so none has to fit into one task; a
+    document's copies in a shard lie wherever their places are. Where the input has columns
+    of the three names, underscores are appended to the new ones.
+    """
+    *names, struct = mixed.columns
+    d = free(mixed.columns, "_ledgerloom_draw")
+    rows = mixed.withColumn(d, F.explode(f"{struct}.draws"))
+    shard, epoch, place = (free(names, x) for x in ("shard", "epoch", "place"))
+    rows = rows.select(*(F.col(f"`{c}`") for c in names), F.col(f"{d}.shard").alias(shard), F.col(f"{d}.epoch").alias(epoch), F.col(f"{d}.place").alias(place))
+    # The place is a uniform 64-bit hash: its top bits cut a shard evenly, without a look at the data.
+    cut = F.floor((F.shiftright(place, 32) + F.lit(1 << 31)) * per_shard / F.lit(1 << 32)).cast("int")
+    part = free(rows.columns, "_ledgerloom_part")
+    rows = rows.withColumn(part, F.col(shard) * per_shard + cut)
+    return rows.repartitionById(shards * per_shard, F.col(part)).sortWithinPartitions(shard, place).drop(part)
