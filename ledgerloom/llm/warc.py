@@ -28,6 +28,10 @@ from ledgerloom.storage import fresh, stored
 REVISIT_BYTES = 1000
 #: Bytes of a read range.
 RANGE = 4 << 20
+#: Parts of a payload's pages when they look for its response.
+SALTS = 16
+#: Tasks that ranges are dealt to at most.
+MOST_TASKS = 50_000
 PIECE = 1 << 18
 
 _GZIP = b"\x1f\x8b\x08"
@@ -71,7 +75,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # Narrow rows only: digests that occur more than once, with the response of each.
     keys = p.where(F.col("bytes") >= REVISIT_BYTES).select("digest", "page_id")
     last = keys.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    again = keys.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("digest").alias("d2"), F.col("page_id").alias("p2"), "last").distinct()
+    # Salted, as one payload may stand on a third of all pages.
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(last, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("digest").alias("d2"), F.col("page_id").alias("p2"), "last").distinct()
     rows = p.join(again, (p["digest"] == again["d2"]) & p["page_id"].eqNullSafe(again["p2"]), "left")
     rows = rows.select("page_id", "url", "payload", "digest", "last", F.col("d2").isNotNull().alias("revisit"))
     make_dir(folder)
@@ -175,8 +181,10 @@ def read_warc(manifest: DataFrame, span: int = RANGE) -> DataFrame:
 
     Size and digest of a response are taken of its payload; a revisit states
     those of the full payload, which it leaves out (payload null). Ranges of
-    ``span`` bytes are dealt to tasks; a range's task needs only the path.
+    ``span`` bytes are dealt to tasks, one each up to ``MOST_TASKS``; a range's task
+    needs only the path. An empty archive gives no rows.
     """
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / span))).first()[0]
     ranges = manifest.select("path", "size", F.explode(F.expr(f"sequence(0, size - 1, {span})")).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + span, F.col("size")))
 
@@ -198,7 +206,8 @@ def read_warc(manifest: DataFrame, span: int = RANGE) -> DataFrame:
                 yield _rows(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(read, schema)
+    # With a number, so that adaptive execution does not take these small rows together in one task.
+    return ranges.repartition(max(1, min(n or 0, MOST_TASKS))).mapInArrow(read, schema)
 
 
 _TYPES = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]

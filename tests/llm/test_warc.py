@@ -4,10 +4,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import oracles
 from ledgerloom.llm.registry import op5_warc
-from ledgerloom.llm.warc import gzip_member, parsed, record, records_in, warc_round_trip
+from ledgerloom.llm.warc import gzip_member, parsed, read_warc, record, records_in, warc_round_trip, write_warc
+from ledgerloom.storage import stored
 
 
 def archive(n=40):
@@ -53,6 +55,17 @@ def test_edge_rows(spark):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_reading_is_split(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, f"http://x/{i}", rng.randbytes(1500).hex() if i % 3 else "same " * 400) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = read_warc(stored(write_warc(df, str(tmp_path)), "manifest"), span=20_000)
+    assert got.rdd.getNumPartitions() > 8
+    assert sorted(r.page_id for r in got.collect()) == list(range(200))
+    assert len({r.p for r in got.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 4
+    assert {r.refers_to for r in got.where("record_type = 'revisit'").collect()} == {198}
+
+
 def test_registered_query(spark):
     d = "/root/testdata/sf0.001"
     duckdb.sql(f"create or replace view pages as select * from '{d}/pages.parquet'")
