@@ -20,8 +20,8 @@ How it stays linear where copies and shared passages abound:
 5. Components of those links, then the least doc_id of each.
 
 Equal texts (after lower-casing and splitting) count once from step 3 on.
-Nothing is dropped, capped or sampled. Hashes: texts by 128 bits, shingles by
-64; a false link would need a collision of these.
+Nothing is dropped, capped or sampled. Hashes: texts by 128 bits throughout,
+shingles by 64; a false link would need a collision of these.
 """
 
 from __future__ import annotations
@@ -84,25 +84,27 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _text_key(words: list[bytes]) -> tuple[int, int]:
-    d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-    return int(d[0]), int(d[1])
+def _text_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
-    """Rows (doc_id, k1, k2, n, gid, prefix, bits); the last two only where the task meets a group first."""
+    """Rows (doc_id, hash, key, n, gid, prefix, bits); the last two only where the task meets a group first.
+
+    gid is 64 bits of the group's hash, to keep posting lists small. Groups that
+    happen to share it both send their prefixes, so that they only look for
+    partners together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches):
-            k1, k2, ns, gids, prefixes, bits = [], [], [], [], [], []
+            keys, ns, gids, prefixes, bits = [], [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                a, b = _text_key(words)
                 h = shingle_hashes(words, k)
                 n = len(h)
-                k1.append(a)
-                k2.append(b)
+                keys.append(_text_key(words))
                 ns.append(n)
                 if not n:
                     gids.append(None)
@@ -112,18 +114,18 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
                 size = n - needed(n, num, den) + 1
                 order = (levels[_cells(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 p = np.sort(h[np.argpartition(order, size - 1)[:size]] if size < n else h)
-                gid = int(np.frombuffer(xxhash.xxh64_digest(p.tobytes(), seed=n), np.int64)[0])
-                gids.append(gid)
-                if gid in seen:
+                group = xxhash.xxh3_128_intdigest(p.tobytes(), seed=n)
+                gids.append((group & (1 << 64) - 1) - (1 << 63))
+                if group in seen:
                     prefixes.append(None)
                     bits.append(None)
                 else:
                     if len(seen) > 500_000:
                         seen.clear()
-                    seen.add(gid)
+                    seen.add(group)
                     prefixes.append(p.view(np.int64))
                     bits.append(_signature(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "hash", "k1", "k2", "n", "gid", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "hash", "key", "n", "gid", "prefix", "bits"])
 
     return run
 
@@ -222,11 +224,11 @@ def may_link(n: int, x: bytes, m: int, y: bytes, num: int, den: int) -> bool:
 
 
 def _fitting(num: int, den: int):
-    """Rows (a, b, n, x, m, y): those whose bitmaps allow a link; an unknown bitmap does."""
+    """Rows (a, b, n, x, m, y): those whose bitmaps allow a link; an unknown size or bitmap does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [x is None or y is None or may_link(n, x, m, y, num, den) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            keep = [None in (n, x, m, y) or may_link(n, x, m, y, num, den) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return run
@@ -238,7 +240,7 @@ def _forest_rows(forest: Forest) -> pa.RecordBatch:
 
 
 def _sets_of(marked: np.ndarray, k: int):
-    """Rows (k1, k2, words' set as bytes) of the documents that the bitmap marks."""
+    """Rows (rep, key, words' set as bytes) of the documents that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = len(marked) * 8 - 1
@@ -251,7 +253,7 @@ def _sets_of(marked: np.ndarray, k: int):
                 if not words:
                     continue
                 s = shingle_hashes(words, k).tobytes()
-                out.append((batch.column(0)[i].as_py(), *_text_key(words), s))
+                out.append((batch.column(0)[i].as_py(), _text_key(words), s))
                 held += len(s)
                 if held > 16_000_000:
                     yield _set_rows(out)
@@ -263,7 +265,7 @@ def _sets_of(marked: np.ndarray, k: int):
 
 
 def _set_rows(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["rep", "k1", "k2", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["rep", "key", "shingles"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -290,15 +292,15 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(num: int, den: int):
-    """Rows (cluster, i, j, block, k1, k2, shingles) sorted by the first three: forest of links of each task's pair of blocks."""
+    """Rows (cluster, i, j, block, key, shingles) sorted by the first three: forest of links of each task's pair of blocks."""
 
-    def solve(rows: list) -> list[tuple[int, int]]:
-        texts = {(r[4], r[5]): r for r in rows}
+    def solve(rows: list) -> list[tuple[bytes, bytes]]:
+        texts = {r[4]: r for r in rows}
         if len(texts) < 2:
             return []
         sides: tuple[list, list] = ([], [])
         for r in texts.values():
-            sides[int(r[3] != r[1])].append((r[4], np.frombuffer(r[6], np.uint64)))
+            sides[int(r[3] != r[1])].append((r[4], np.frombuffer(r[5], np.uint64)))
         left, right = sides
         forest = Forest()
         if not right and len(left) <= 8:
@@ -325,15 +327,15 @@ def _links(num: int, den: int):
                     found += solve(rows)
                     at, rows = r[:3], []
                 rows.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
         found = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
     return run
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, hash, n, k1, k2, gid, root): root names the class of linked texts; gid is null without words."""
+    """Rows (doc_id, hash, n, key, gid, root, least): root names the class of linked texts, least is its least doc_id; all three are null without words."""
     spark = docs.sparkSession
     d = narrow(docs, doc_id=docs[id_col].cast("bigint"), text=text_col, hash=F.xxhash64(docs[text_col]))
     texts = d.where(F.col("text").isNotNull()).select("text")
@@ -349,21 +351,21 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     def prefixes(batches):
         return _prefixes(shared.value, k, num, den)(batches)
 
-    parts = stored(d.mapInArrow(prefixes, "doc_id long, hash long, k1 long, k2 long, n long, gid long, prefix array<long>, bits binary"), "prefixes")
+    parts = stored(d.mapInArrow(prefixes, "doc_id long, hash long, key binary, n long, gid long, prefix array<long>, bits binary"), "prefixes")
     lists = parts.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "gid")
     lists = lists.repartition("token").sortWithinPartitions("token", "n", "gid")
     found = stored(lists.mapInArrow(_candidates(num, den), "a long, b long, tie boolean"), "candidates")
     pairs = found.where("not tie").select("a", "b").distinct()
     # A group of several texts has no bitmap that holds for all of them.
-    of = parts.where("gid is not null").groupBy("gid").agg(F.first("n").alias("n"), F.when((F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2")), F.first("bits", ignorenulls=True)).alias("bits"))
+    of = parts.where("gid is not null").groupBy("gid").agg(F.when(F.min("n") == F.max("n"), F.min("n")).alias("n"), F.when(F.min("key") == F.max("key"), F.first("bits", ignorenulls=True)).alias("bits"))
     of = stored(of.join(pairs.select(F.explode(F.array("a", "b")).alias("gid")), "gid", "left_semi"), "bitmaps")
     pairs = pairs.join(of.selectExpr("gid as a", "n", "bits as x"), "a").join(of.selectExpr("gid as b", "n as m", "bits as y"), "b").select("a", "b", "n", "x", "m", "y")
     pairs = pairs.mapInArrow(_fitting(num, den), "a long, b long")
     clusters = connected_components(pairs.unionAll(found.where("tie").select("a", "b")))
 
     # Different texts, each with the document that stands for it; those with no possible partner go.
-    classes = parts.where("gid is not null").groupBy("k1", "k2", "gid").agg(F.min("doc_id").alias("rep"))
-    placed = classes.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").select("k1", "k2", "rep", F.coalesce("root", "gid").alias("cluster"))
+    classes = parts.where("gid is not null").groupBy("key", "gid").agg(F.min("doc_id").alias("rep"))
+    placed = classes.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").select("key", "rep", F.coalesce("root", "gid").alias("cluster"))
     placed = stored(placed, "classes")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(placed.join(sizes, "cluster").withColumn("q", F.ceil(F.col("m") / BLOCK)), "members")
@@ -377,31 +379,34 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     def sets(batches):
         return _sets_of(marks.value, k)(batches)
 
-    sets_of = d.select("doc_id", "text").mapInArrow(sets, "rep long, k1 long, k2 long, shingles binary")
-    full = sets_of.alias("s").join(members.alias("m"), (F.col("s.k1") == F.col("m.k1")) & (F.col("s.k2") == F.col("m.k2")) & F.col("s.rep").eqNullSafe(F.col("m.rep")))
-    block = F.expr("cast(pmod(m.k2, m.q) as int)")
-    full = full.select("m.cluster", block.alias("block"), F.expr("cast(m.q as int)").alias("q"), "m.k1", "m.k2", "s.shingles")
-    dealt = full.withColumn("other", F.explode(F.expr("sequence(0, q - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", "k2", "shingles")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_links(num, den), "a long, b long")
-    linked = connected_components(links)
-
-    rows = parts.select("doc_id", "hash", "n", "k1", "k2", "gid").join(linked.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    sets_of = d.select("doc_id", "text").mapInArrow(sets, "rep long, key binary, shingles binary")
+    full = sets_of.alias("s").join(members.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.rep").eqNullSafe(F.col("m.rep")))
+    block = F.expr("cast(pmod(xxhash64(m.key), m.q) as int)")
+    full = full.select("m.cluster", block.alias("block"), F.expr("cast(m.q as int)").alias("q"), "m.key", "s.shingles")
+    dealt = full.withColumn("other", F.explode(F.expr("sequence(0, q - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "shingles")
+    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_links(num, den), "a binary, b binary")
+    linked = connected_components(links).withColumnRenamed("node", "key")
+
+    # One row a different text first; only then the documents, in one join.
+    rooted = placed.join(linked, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    rooted = rooted.join(least, "root").select("key", "root", "least")
+    rows = parts.select("doc_id", "hash", "n", F.when(F.col("gid").isNotNull(), F.col("key")).alias("key"), "gid").join(rooted, "key", "left")
     return stored(rows, "rooted")
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """Classes of documents whose shingle sets link at ``den * intersection >= num * union``.
 
-    One row per input row: ``doc_id, n_shingles, component_id, k1, k2``, where
-    (k1, k2) names the lower-cased word sequence and component_id is the least
-    doc_id that links reach. A null or blank text has no shingles and links with
-    nothing: it is its own component. Rows with a null doc_id take part by their
-    text; a component without any doc_id has a null one. Repeated rows stay.
+    One row per input row: ``doc_id, n_shingles, component_id, key``, where
+    key names the lower-cased word sequence by 128 bits (null without words) and
+    component_id is the least doc_id that links reach. A null or blank text has no
+    shingles and links with nothing: it is its own component. Rows with a null doc_id
+    take part by their text; a component without any doc_id has a null one. Repeated
+    rows stay.
     """
     rows = _rooted(docs, id_col, text_col, k, num, den)
-    least = rows.where("gid is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "k1", "k2")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -58,6 +58,13 @@ def test_against_brute_force(spark, monkeypatch, limit, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_long_posting_list_at_default_settings(spark):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{shared} " + " ".join(f"u{i}x{j}" for j in range(1 + i % 25))) for i in range(3 * ngram_join.LIST)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and 1 < len({c for _, c in got.values()}) < len(rows)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None, 0), (2, "", 0), (3, " \n\t ", 0), (4, "A b", 0), (5, "a  B", 0), (6, "a b c d e", 0), (6, "a b c d e", 0), (7, "A B C D E", 0), (None, "a b c d e", 0), (8, long, 0), (9, long + " y", 0), (10, "é b c d e", 0), (11, "É b c d e", 0), (None, "lonely words here", 0), (12, "a b", 0)]
