@@ -171,10 +171,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     m = d.join(F.broadcast(b) if small else b, "h")
     # With the place in w, whether both sides are read as written: even parts are of templates t.
     m = m.withColumn("pos", F.col("at") % F.size("v")).withColumn("plain", (F.col("reading") == "t") & (F.floor(F.col("at") / F.size("v")) % 2 == 0))
-    m = m.select("doc_id", "text_hash", "item_id", "windows", "strongs", "ipos", "plain", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, F.col("n")).alias("dv"))
+    m = m.select("doc_id", "text_hash", "item_id", "windows", "strongs", "ipos", "plain", "reading", (F.col("pos") - F.col("ipos")).alias("diagonal"), "iv", "it", F.slice("v", F.col("pos") + 1, F.col("n")).alias("dv"))
     slots = F.transform(F.filter(F.arrays_zip("iv", "dv", "it"), lambda x: x["it"].startswith("#")), lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d")))
     key = ["doc_id", "text_hash", "item_id", "windows", "strongs"]
-    g = m.groupBy(*key, "diagonal").agg(F.collect_set(F.struct("ipos", "plain", slots.alias("slots"))).alias("rows"))
+    # The hash alone has joined them: literals must be equal as well, and values where the window is looked for by these.
+    # Not a filter of its own, which would go into the join and there cut out a window of every token.
+    same = F.forall(F.arrays_zip("iv", "dv", "it"), lambda x: x["it"].startswith("#") | (x["it"] == x["dv"])) & ((F.col("reading") != "v") | (F.col("iv") == F.col("dv")))
+    g = m.groupBy(*key, "diagonal").agg(F.collect_set(F.when(same, F.struct("ipos", "plain", slots.alias("slots")))).alias("rows"))
     # A name read into a sentence's opening must not spoil what matches as written.
     g = g.select(*key, _consistent(F.col("rows")).alias("any"), _consistent(F.filter("rows", lambda r: r["plain"])).alias("plain"))
     at = lambda c: F.transform(c, lambda r: r["ipos"]).alias(f"{c}_at")
