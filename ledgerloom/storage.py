@@ -16,12 +16,14 @@ def scratch(spark: SparkSession) -> str:
     """Folder for this application's intermediate files.
 
     It lies in ``spark.checkpoint.dir``, which the cluster names and shares.
-    Only where that setting is missing (single-machine tests) is a temporary
-    folder made, and removed when Python ends.
+    Only where that setting is missing and all runs in one process (tests) is a
+    temporary folder made, and removed when Python ends; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="ledgerloom-")
             atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
