@@ -48,29 +48,34 @@ def count_beliefs(claims: DataFrame) -> DataFrame:
     return g.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def leader_groups(claims: DataFrame) -> DataFrame:
-    """``stratum, leader, members, tolerance``: SUM claims in ascending order join the first leader within tolerance.
+def leader_members(claims: DataFrame) -> DataFrame:
+    """``stratum, value_num, n, tol, leader``: SUM claims in ascending order join the first leader within tolerance.
 
-    The leader's value has six significant digits. Taking leaders in order is
-    sequential, so a stratum's distinct values go to one task: a stratum has as
+    Tolerance is the loosest that the claim or a member states, or 0.5 % of the
+    claim if that is more. The leader's value has six significant digits. Taking
+    leaders in order is sequential, so a stratum's distinct values go to one task: a stratum has as
     many as it has differing statements, not as many as it has sources.
     """
     c = claims.where("functional = 'SUM'").groupBy("stratum", "value_num").agg(F.count("*").alias("n"), F.max(F.coalesce("tolerance", F.lit(0.0))).alias("tol"))
 
     def group(pdf):
-        import pandas as pd
+        leaders: list[list[float]] = []
+        of = []
+        pdf = pdf.sort_values("value_num")
+        for v, tol in pdf[["value_num", "tol"]].itertuples(index=False):
+            near = next((g for g in leaders if abs(v - g[0]) <= max(g[1], tol, GROUP_TOLERANCE * abs(v))), None)
+            if near is None:
+                leaders.append(near := [float(f"{v:.6g}"), tol])
+            near[1] = max(near[1], tol)
+            of.append(near[0])
+        return pdf.assign(leader=of)[["stratum", "value_num", "n", "tol", "leader"]]
+
+    return c.groupBy("stratum").applyInPandas(group, "stratum string, value_num double, n long, tol double, leader double")
 
-        out: list[list] = []
-        for v, n, tol in pdf.sort_values("value_num")[["value_num", "n", "tol"]].itertuples(index=False):
-            near = next((g for g in out if abs(v - g[1]) <= max(g[3], tol, GROUP_TOLERANCE * abs(g[1]))), None)
-            if near:
-                near[2] += n
-                near[3] = max(near[3], tol)
-            else:
-                out.append([pdf["stratum"].iloc[0], float(f"{v:.6g}"), n, tol])
-        return pd.DataFrame(out, columns=["stratum", "leader", "members", "tolerance"])
 
-    return c.groupBy("stratum").applyInPandas(group, "stratum string, leader double, members long, tolerance double")
+def leader_groups(claims: DataFrame) -> DataFrame:
+    """``stratum, leader, members, tolerance``: the groups of ``leader_members``."""
+    return leader_members(claims).groupBy("stratum", "leader").agg(F.sum("n").alias("members"), F.max("tol").alias("tolerance"))
 
 
 def provisional_count(claims: DataFrame) -> DataFrame:
@@ -85,32 +90,87 @@ def brakes(counts: DataFrame) -> DataFrame:
     return counts.select("stratum", F.when(F.round("belief", 9) >= BRAKE_BELIEF, F.col("claimed")).alias("brake"))
 
 
-def count_checksum(coverage: DataFrame, counts: DataFrame) -> DataFrame:
-    """``coverage(stratum, n, chao, fragile)`` against believed counts: certify, gap, conflict or none.
+def sum_beliefs(claims: DataFrame) -> DataFrame:
+    """``stratum, v, tolerance, belief``: SUM claims by leader group, the most believed first, ties to the lesser leader.
 
-    Too few found is a gap; as many as stated certifies, unless the entity rests
-    on a fragile merge; more is a conflict, as is a certificate that the unseen
-    estimate contradicts.
+    As for counts, each source is one unanchored origin.
+    """
+    c = claims.where("functional = 'SUM'").select("stratum", "source_id", "value_num", F.coalesce("tolerance", F.lit(0.0)).alias("tolerance"))
+    m = c.join(leader_members(claims).select("stratum", "value_num", "leader"), ["stratum", "value_num"])
+    b = m.groupBy("stratum", F.col("leader").alias("v")).agg(F.countDistinct("source_id").alias("sources"), F.max("tolerance").alias("tolerance"))
+    b = b.withColumn("belief", 1 - F.pow(F.lit(1 - QBAR), F.col("sources")))
+    w = Window.partitionBy("stratum").orderBy(F.desc("sources"), "v")
+    return b.withColumn("r", F.row_number().over(w)).where("r = 1").select("stratum", "v", "tolerance", "belief")
+
+
+def checksum(coverage: DataFrame, counts: DataFrame, sums: DataFrame) -> DataFrame:
+    """Each stratum's coverage against what sources say of its count and its sum.
+
+    ``coverage(stratum, n, total, slack, chao, fragile)``, ``counts(stratum,
+    claimed, belief)``, ``sums(stratum, v, tolerance, belief)``. Gives ``stratum, n,
+    claimed, outcome, kind, belief, delta_plus, count_gap, value_gap, conflict``.
+
+    Count first: too few found is a gap; as many as stated certifies, unless the
+    entity rests on a fragile merge; more is a conflict. Where that neither
+    certifies nor conflicts, the sum certifies if the excess is small and no
+    record is known to be missing, else a residual beyond the tolerances is a gap. A
+    certificate that the estimate of the unseen contradicts is a conflict.
     """
-    d = coverage.join(counts, "stratum", "left")
-    n, c = F.col("n"), F.col("claimed")
-    kind = (
-        F.when(c.isNull(), "none").when(n < c, "gap").when(n > c, "conflict:found_more_than_claimed")
-        .when(F.col("fragile"), "conflict:fragile_entity").when(F.col("chao") > CHAO_VETO, "conflict:chao_vs_checksum").otherwise("certified")
+    d = coverage.join(counts.select("stratum", "claimed", F.col("belief").alias("b_n")), "stratum", "left")
+    d = d.join(sums.select("stratum", "v", "tolerance", F.col("belief").alias("b_v")), "stratum", "left")
+    n, c, v, total = (F.col(x) for x in ("n", "claimed", "v", "total"))
+    known = lambda x: F.coalesce(x, F.lit(False))
+    short, even, more = known(n < c), known(n == c), known(n > c)
+    conflict = F.when(even & F.col("fragile"), "fragile_entity").when(more, "found_more_than_claimed")
+    by_count = even & ~F.col("fragile")
+    open_ = ~by_count & conflict.isNull() & v.isNotNull()
+    plus = F.greatest(F.lit(0.0), v - total) + F.col("tolerance") + F.col("slack")
+    by_sum = known(open_ & ~short & (plus <= SUM_TOLERANCE * v))
+    lacks = known(open_ & ~by_sum & (v - total > F.col("tolerance") + F.col("slack")))
+    doubt = (by_count | by_sum) & (F.col("chao") > CHAO_VETO)
+    sure = (by_count | by_sum) & ~doubt
+    conflict = F.when(doubt, "chao_vs_checksum").otherwise(conflict)
+    outcome = F.when(sure, "certified").when(conflict.isNotNull(), "conflict").when(short | lacks, "gap").when(c.isNull() & v.isNull(), "none").otherwise("open")
+    return d.select(
+        "stratum", "n", "claimed", outcome.alias("outcome"), F.when(sure, F.when(by_count, "COUNT").otherwise("SUM")).alias("kind"),
+        F.when(sure, F.when(by_count, F.col("b_n")).otherwise(F.col("b_v"))).alias("belief"), F.when(sure & by_sum, plus).alias("delta_plus"),
+        F.when(short, c - n).alias("count_gap"), F.when(lacks, v - total).alias("value_gap"), conflict.alias("conflict"),
     )
-    return d.select("stratum", "n", "claimed", "belief", kind.alias("outcome"), F.when(n < c, c - n).alias("gap"))
 
 
-def sum_checksum(coverage: DataFrame, sums: DataFrame) -> DataFrame:
-    """``coverage(stratum, total, slack)`` against ``sums(stratum, v, tolerance, belief)``: certified where the excess is small."""
-    d = coverage.join(sums, "stratum")
-    plus = F.greatest(F.lit(0.0), F.col("v") - F.col("total")) + F.col("tolerance") + F.col("slack")
-    gap = F.col("v") - F.col("total") > F.col("tolerance") + F.col("slack")
-    return d.select("stratum", "total", "v", "belief", plus.alias("delta_plus"), F.when(plus <= SUM_TOLERANCE * F.col("v"), "certified").when(gap, "gap").otherwise("open").alias("outcome"))
+def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``stratum, revoked, action`` when strata have been merged and checked again.
 
+    revoked says why a certificate that stood before goes: conflict, count_gap or
+    checksum_open. action: VETO for any conflict, also one of a revoked certificate;
+    CERTIFY where none stood; REVOKE where one goes without a conflict; else KEEP.
+    """
+    d = before.select("stratum", (F.col("outcome") == "certified").alias("was"))
+    d = d.join(after.select("stratum", (F.col("outcome") == "certified").alias("now"), F.col("conflict").isNotNull().alias("conflict"), F.col("count_gap").isNotNull().alias("short")), "stratum", "full")
+    was, now, conflict, short = (F.coalesce(F.col(x), F.lit(False)) for x in ("was", "now", "conflict", "short"))
+    goes = was & (conflict | ~now)
+    why = F.when(goes, F.when(conflict, "conflict").when(short, "count_gap").otherwise("checksum_open"))
+    return d.select("stratum", why.alias("revoked"), F.when(conflict, "VETO").when(now & ~was, "CERTIFY").when(goes, "REVOKE").otherwise("KEEP").alias("action"))
 
-def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``stratum, action`` when strata have been merged: REVOKE, VETO, CERTIFY or KEEP."""
-    d = before.select("stratum", F.col("outcome").alias("was")).join(after.select("stratum", F.col("outcome").alias("now")), "stratum", "full")
-    was, now = F.coalesce(F.col("was") == "certified", F.lit(False)), F.coalesce(F.col("now") == "certified", F.lit(False))
-    return d.select("stratum", F.when(was & ~now & F.col("now").startswith("conflict"), "VETO").when(was & ~now, "REVOKE").when(~was & now, "CERTIFY").otherwise("KEEP").alias("action"))
+
+def gap_searches(checked: DataFrame, seen: DataFrame) -> DataFrame:
+    """``stratum, gap_key, query``: one search for each kind of gap of a stratum, the first time that it shows.
+
+    ``seen(stratum, gap_key)`` are those asked before; gap_key is the sorted kinds.
+    """
+    kinds = F.array_compact(F.array(F.when(F.col("count_gap").isNotNull(), F.lit("count_gap")), F.when(F.col("value_gap").isNotNull(), F.lit("value_gap"))))
+    g = checked.select("stratum", F.array_join(F.array_sort(kinds), "+").alias("gap_key")).where("gap_key <> ''").distinct()
+    g = g.join(seen.select("stratum", "gap_key").distinct(), ["stratum", "gap_key"], "left_anti")
+    return g.withColumn("query", F.concat(F.col("stratum"), F.lit(" missing records "), F.col("gap_key")))
+
+
+def agreed_claims(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``claim_id, status``: claims of reader A that some claim of B on the same source, stratum and functional confirms.
+
+    Within the greater of both tolerances or 0.5 % of A's value.
+    """
+    x = a.select("claim_id", "source_id", "stratum", "functional", F.col("value_num").alias("x"), F.coalesce("tolerance", F.lit(0.0)).alias("tx"))
+    y = b.select("source_id", "stratum", "functional", F.col("value_num").alias("y"), F.coalesce("tolerance", F.lit(0.0)).alias("ty"))
+    near = F.abs(F.col("x") - F.col("y")) <= F.greatest("tx", "ty", F.lit(GROUP_TOLERANCE) * F.abs("x"))
+    j = x.join(y, ["source_id", "stratum", "functional"], "left").groupBy("claim_id").agg(F.bool_or(near).alias("ok"))
+    return j.select("claim_id", F.when(F.coalesce("ok", F.lit(False)), "agreed").otherwise("a_only").alias("status"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from ledgerloom.operators.graph import connected_components
+from ledgerloom.storage import stored
 
 # Grading tolerance of amounts, certificate level and target.
 AMOUNT_TOLERANCE, DELTA_F, EPS_TARGET = 0.05, 0.05, 0.10
@@ -19,20 +19,34 @@ AMOUNT_TOLERANCE, DELTA_F, EPS_TARGET = 0.05, 0.05, 0.10
 def collapsed_chains(filings: DataFrame) -> DataFrame:
     """``entity, root, amount, first_sale, n_filings, snapshots, partial``: one round a chain of amendments.
 
-    A chain is a component of the 'amends' links. Its newest filing gives the
-    amount, its earliest stated first sale the date; snapshots are its other
-    amounts. A chain whose first filing is missing is partial, under that name.
+    A chain is named by the filing that its links lead back to. Its newest filing
+    gives the amount (0 if it states none), the first in filing order that states
+    a first sale the date; snapshots are its other amounts. A chain whose first
+    filing is missing is partial, under that name.
     """
-    links = filings.where("previous is not null").select(F.col("accession").alias("a"), F.col("previous").alias("b"))
-    roots = connected_components(links)
-    f = filings.join(roots.withColumnRenamed("node", "accession"), "accession", "left").withColumn("root", F.coalesce("root", "accession"))
+    f = filings.join(chain_roots(filings), "accession")
     known = filings.select(F.col("accession").alias("previous"), F.lit(True).alias("known"))
     f = f.join(known, "previous", "left")
     order = F.struct(F.coalesce(F.col("filing_date").cast("string"), F.lit("")), F.col("accession"))
-    g = f.groupBy("entity", "root").agg(F.max_by("amount", order).alias("amount"), F.min("first_sale").alias("first_sale"), F.count("*").alias("n_filings"), F.array_sort(F.collect_set("amount")).alias("amounts"), F.bool_or(F.col("previous").isNotNull() & F.col("known").isNull()).alias("partial"))
+    g = f.groupBy("entity", "root").agg(F.max_by("amount", order).alias("amount"), F.min_by("first_sale", F.when(F.col("first_sale").isNotNull(), order)).alias("first_sale"), F.count("*").alias("n_filings"), F.array_sort(F.collect_set("amount")).alias("amounts"), F.bool_or(F.col("previous").isNotNull() & F.col("known").isNull()).alias("partial"))
+    g = g.withColumn("amount", F.coalesce("amount", F.lit(0.0)))
     return g.select("entity", "root", "amount", "first_sale", "n_filings", F.array_except("amounts", F.array("amount")).alias("snapshots"), "partial")
 
 
+def chain_roots(filings: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``accession, root`` by pointer doubling: after r rounds a filing points 2**r links back."""
+    p = stored(filings.select("accession", F.coalesce("previous", "accession").alias("root")).distinct(), "chains")
+    for _ in range(max_rounds):
+        up = p.select(F.col("accession").alias("root"), F.col("root").alias("next"))
+        moved = Observation()
+        q = p.join(up, "root", "left").select("accession", F.coalesce("next", "root").alias("to"), "root")
+        q = stored(q.observe(moved, F.count_if(F.col("to") != F.col("root")).alias("n")).select("accession", F.col("to").alias("root")), "chains")
+        if not moved.get["n"]:
+            return q
+        p = q
+    raise RuntimeError("filings amend each other in a circle")
+
+
 def truth_sums(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("entity").agg(F.sum("amount").alias("true_sum"), F.count("*").alias("true_count"))
 

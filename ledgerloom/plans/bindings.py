@@ -32,6 +32,26 @@ FROM (SELECT c.c_custkey, c.c_name, f.functional, max(o.o_orderdate) AS last,
       FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN (VALUES ('COUNT'), ('SUM')) AS f(functional) ON TRUE
       GROUP BY c.c_custkey, c.c_name, f.functional) t
 JOIN (VALUES (0), (1), (2)) AS s(k) ON s.k < 2 OR t.c_custkey % 4 = 0""",
+    # As claims, but sums differ a little from source to source, and some strata have sums alone.
+    "statements": """
+SELECT concat(t.functional, '/', CAST(t.c_custkey AS STRING), '/', CAST(s.k AS STRING)) AS claim_id, concat('s', CAST((t.c_custkey + s.k * 7) % 50 AS STRING)) AS source_id,
+       t.c_name AS stratum, t.functional, CASE WHEN t.functional = 'COUNT' THEN t.v + CASE WHEN s.k = 2 THEN 1 ELSE 0 END ELSE t.v * (1 + s.k * 0.004E0) END AS value_num,
+       CASE WHEN t.functional = 'SUM' AND t.c_custkey % 4 = 1 THEN 1000.0E0 ELSE 0.0E0 END AS tolerance,
+       CASE WHEN t.functional = 'COUNT' AND t.c_custkey % 3 = 0 THEN 'grants' WHEN (t.c_custkey + s.k) % 13 = 0 THEN 'equity and debt' ELSE 'equity round' END AS scope,
+       'as reported' AS passage, CAST(NULL AS STRING) AS chain, t.last AS t_asof
+FROM (SELECT c.c_custkey, c.c_name, f.functional, max(o.o_orderdate) AS last,
+             CASE WHEN f.functional = 'COUNT' THEN CAST(count(*) - CASE WHEN c.c_custkey % 11 = 0 THEN 1 ELSE 0 END AS DOUBLE) ELSE CAST(sum(floor(o.o_totalprice)) AS DOUBLE) END AS v
+      FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN (VALUES ('COUNT'), ('SUM')) AS f(functional) ON TRUE
+      GROUP BY c.c_custkey, c.c_name, f.functional) t
+JOIN (VALUES (0), (1), (2), (3)) AS s(k) ON s.k < 2 OR t.c_custkey % 4 = s.k % 4""",
+    # Twenty documents speak of one cell; some cite the one before, some have no date.
+    "witnesses": f"""
+SELECT CAST(floor(doc_id / 20) AS BIGINT) AS cell, CAST(floor(doc_id / 2) AS BIGINT) % 3 AS value, doc_id AS source_id, doc_id AS mention_id,
+       concat('https://', source, '.example/', CAST(doc_id AS STRING)) AS url, concat(source, '.example') AS domain, CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS BIGINT) END AS ts,
+       {_CLASS.format(x="doc_id")} AS source_class, doc_id % 6 = 0 AS anchored, CASE WHEN doc_id % 4 = 0 THEN concat('c', CAST(doc_id % 40 AS STRING)) END AS chain,
+       CASE WHEN doc_id % 8 = 0 THEN 'Form D/A' ELSE 'Form D' END AS doc_type,
+       CASE WHEN doc_id % 5 < 2 THEN concat(text, ' see https://src', CAST((doc_id - 1) % 20 AS STRING), '.example/', CAST(doc_id - 1 AS STRING), ' for more') WHEN doc_id % 11 = 0 THEN concat(text, ' as src', CAST(doc_id % 20 AS STRING), '.example has it') ELSE text END AS text
+FROM documents""",
     # Suppliers state a coarse quantity for each part.
     "cells": f"""
 SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(l_partkey AS STRING)) AS mention_id,
@@ -67,7 +87,7 @@ FROM documents""",
     "scores": "SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN (d.n_chars % 100) / 100.0E0 ELSE 1 + (d.n_chars % 10) / 10.0E0 END AS score, (d.n_chars % 97) / 97.0E0 AS conf FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     # An order's predecessor is the customer's order before it, every fourth order starting a new chain.
     "filings": """
-SELECT o_orderkey AS accession, CASE WHEN o_orderkey % 4 <> 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS previous,
+SELECT o_orderkey AS accession, CASE WHEN o_orderkey % 4 <> 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS previous,
        o_custkey AS entity, o_orderdate AS filing_date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS first_sale, floor(o_totalprice) AS amount
 FROM orders""",
     "graded": """
@@ -82,7 +102,7 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, frames = BINDINGS[name], {}
     import re
 
-    for t in ("orders", "customer", "lineitem", "events", "part", "documents", "labels"):
+    for t in ("orders", "customer", "lineitem", "events", "part", "supplier", "documents", "labels", "embeddings", "pages", "benchmark", "conversations"):
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b( [a-z]\b)?", lambda m, t=t: f"{m[1]} {{{t}}}{m[2] or ''}", sql)
