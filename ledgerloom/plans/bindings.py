@@ -47,10 +47,10 @@ JOIN (VALUES (0), (1), (2), (3)) AS s(k) ON s.k < 2 OR t.c_custkey % 4 = s.k % 4
     # Twenty documents speak of one cell; some cite the one before, some have no date.
     "witnesses": f"""
 SELECT CAST(floor(doc_id / 20) AS BIGINT) AS cell, CAST(floor(doc_id / 2) AS BIGINT) % 3 AS value, doc_id AS source_id, doc_id AS mention_id,
-       concat('https://', source, '.example/', CAST(doc_id AS STRING)) AS url, concat(source, '.example') AS domain, CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS BIGINT) END AS ts,
+       concat('https://', source, '.example/', CAST(doc_id AS STRING)) AS url, concat(source, '.example') AS domain, coalesce(CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS BIGINT) END, CASE WHEN doc_id % 27 <> 0 THEN CAST(doc_id AS BIGINT) END) AS ts,
        {_CLASS.format(x="doc_id")} AS source_class, doc_id % 6 = 0 AS anchored, CASE WHEN doc_id % 4 = 0 THEN concat('c', CAST(doc_id % 40 AS STRING)) END AS chain,
        CASE WHEN doc_id % 8 = 0 THEN 'Form D/A' ELSE 'Form D' END AS doc_type,
-       CASE WHEN doc_id % 5 < 2 THEN concat(text, ' see https://src', CAST((doc_id - 1) % 20 AS STRING), '.example/', CAST(doc_id - 1 AS STRING), ' for more') WHEN doc_id % 11 = 0 THEN concat(text, ' as src', CAST(doc_id % 20 AS STRING), '.example has it') ELSE text END AS text
+       CASE WHEN doc_id % 110 = 0 THEN concat('corrected: ', text) WHEN doc_id % 5 < 2 THEN concat(text, ' see https://src', CAST((doc_id - 1) % 20 AS STRING), '.example/', CAST(doc_id - 1 AS STRING), ' for more') WHEN doc_id % 11 = 0 THEN concat(text, ' as src', CAST(doc_id % 20 AS STRING), '.example has it') ELSE text END AS text
 FROM documents""",
     # Suppliers state a coarse quantity for each part.
     "cells": f"""

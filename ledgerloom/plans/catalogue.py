@@ -738,3 +738,7 @@ def stream_occasions(spark, d):
     from ledgerloom.streaming.occasions import replay
 
     return replay(spark, f"{d}/events.parquet")
+
+
+# The queries of these modules register themselves here.
+from ledgerloom.plans import assembly, intake  # noqa: E402, F401
