@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Scale words, currency rates to USD, corporate suffixes, plausible round sizes, cue phrases.
@@ -101,8 +103,14 @@ def screen_name(s: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(s), SCREEN_SUFFIX, " "), "[^a-z0-9]+", " "))
 
 
-#: Latin letters with marks and their plain form, for text that is otherwise ASCII.
-_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _unmarked() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, up to U+1EFF, and the ASCII letters that they decompose to."""
+    pairs = [(chr(c), [x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii()]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, x[0]) for c, x in pairs if len(x) == 1 and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(x.lower() for _, x in pairs)
+
+
+_MARKED, _PLAIN = _unmarked()
 
 
 def resolver_name(s: Column) -> Column:
@@ -201,3 +209,95 @@ def html_text(html: Column) -> Column:
     """Visible text: scripts, styles and hidden fact blocks go with their content, other tags leave a blank."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|ix:header|ix:hidden|ix:references|ix:resources)\b.*?</\1>", " ")
     return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]+>", " "), r"\s+", " "))
+
+
+# Readings of loosely written numbers and dates
+
+NUMBER = r"-?\d+(?:\.\d+)?"
+
+
+def first_number(raw: Column, default: Column | None = None) -> Column:
+    """The first number in a text, whatever stands around it; the default (null) where there is none."""
+    x = F.regexp_extract(F.coalesce(raw, F.lit("")), f"({NUMBER})", 1).try_cast("double")
+    return x if default is None else F.coalesce(x, default)
+
+
+def scaled_number(raw: Column) -> Column:
+    """The first number, times the scale of a k, m or b that follows it at once: '$40M' is 40,000,000, '46 pts' is 46."""
+    s = F.regexp_replace(F.lower(F.btrim(raw)), r"[,$]", "")
+    unit = F.regexp_extract(s, f"({NUMBER})([kmb]?)", 2)
+    return first_number(s) * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+
+
+def aggregate_key(raw: Column) -> Column:
+    """One spelling for the echoes of one number ('24', '24 points', '24.0'); null without a number."""
+    return number_text(scaled_number(raw))
+
+
+def numeric(value: Column, value_num: Column) -> Column:
+    """The stored number, else what the value's one spelling reads as."""
+    return F.coalesce(value_num, canonical_value(value).try_cast("double"))
+
+
+def dollars(value: Column, value_num: Column) -> Column:
+    """The stored number, else the value without commas and dollar signs."""
+    return F.coalesce(value_num, F.regexp_replace(value, "[,$]", "").try_cast("double"))
+
+
+def year_of(text: Column) -> Column:
+    """The first year from 1900 to 2099."""
+    y = F.regexp_extract(F.coalesce(text, F.lit("")), r"\b((?:19|20)\d{2})\b", 1)
+    return F.when(y != "", y.cast("int"))
+
+
+def instant(text: Column) -> Column:
+    """A point in time from an ISO, compact, US or spelled-out date; null for anything else."""
+    s = F.btrim(text)
+    return F.coalesce(F.try_to_timestamp(F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")), *(F.try_to_timestamp(s, F.lit(f)) for f in ("yyyyMMdd", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")))
+
+
+def base_kind(kind: Column) -> Column:
+    """A record kind without its instance: 'funding_round/series_b' is a funding_round."""
+    return F.get(F.split(kind, "/"), F.lit(0))
+
+
+def truth_key(registry_key: Column, kind: Column, date: Column) -> Column:
+    """The registry's key of a record, else base kind and date, else null."""
+    return F.coalesce(registry_key, F.when(date.isNotNull(), F.concat(base_kind(kind), F.lit("|"), date.cast("string"))))
+
+
+def hashed_id(*parts: Column, length: int = 16) -> Column:
+    """First hex digits of the SHA-256 of the parts, bar between."""
+    return F.left(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), F.lit(length))
+
+
+def pair_id(a: Column, b: Column) -> Column:
+    """One id for a pair in either order."""
+    return F.left(F.sha1(F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))), F.lit(16))
+
+
+def in_scope(surface: Column, aliases: Column) -> Column:
+    """Whether a name contains, or is contained in, one of the aliases, both without corporate suffixes."""
+    s = surface_key(surface)
+    hit = F.exists(aliases, lambda a: (surface_key(a) != "") & (s.contains(surface_key(a)) | surface_key(a).contains(s)))
+    return (s != "") & F.coalesce(hit, F.lit(False))
+
+
+def validated(mention: dict[str, Column], context: dict[str, Column]) -> Column:
+    """Struct (value_num, flags, reject) of a mention, by the rules for its attribute.
+
+    ``mention``: attribute, kind, value, currency, passage, date_role;
+    ``context``: stage, post_money, cumulative, any of them null. Money is read in
+    dollars; an amount of a funding round is held against the round's context; a
+    date without a role is flagged; other attributes pass. A rejected mention keeps
+    its reason and nothing else.
+    """
+    m, c = mention, context
+    money, date = m["attribute"].isin(MONEY_ATTRIBUTES), m["attribute"].isin(DATE_ATTRIBUTES)
+    usd = money_usd(m["value"], m["currency"])
+    of_round = (m["attribute"] == "amount") & m["kind"].startswith("funding_round")
+    checks = round_checks(m["passage"], usd["usd"], c["stage"], c["post_money"], c["cumulative"])
+    none = F.array().cast("array<string>")
+    reject = F.when(money & usd["reject"].isNotNull(), usd["reject"]).when(money & of_round, checks["reject"])
+    flags = F.when(money, F.concat(usd["flags"], F.when(of_round, checks["flags"]).otherwise(none))).when(date & m["date_role"].isNull(), F.array(F.lit("date_role_missing"))).otherwise(none)
+    return F.struct(F.when(reject.isNull() & money, usd["usd"]).alias("value_num"), F.when(reject.isNull(), flags).alias("flags"), reject.alias("reject"))

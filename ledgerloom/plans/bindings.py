@@ -82,6 +82,45 @@ SELECT doc_id AS source_id, concat('https://', source, '.example/', CAST(doc_id
        CASE WHEN doc_id % 7 = 0 THEN concat(text, ' see https://', (CASE WHEN doc_id > 0 THEN concat('src', CAST((doc_id - 1) % 20 AS STRING)) ELSE 'none' END), '.example/', CAST(doc_id - 1 AS STRING), CASE WHEN doc_id % 21 = 0 THEN ' corrected' ELSE '' END)
             ELSE text END AS text
 FROM documents""",
+    # Registry documents as text: an index of three filings a customer, an older page for every third, filings in XML, studies, result pages.
+    "submissions": """
+SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS cik, concat('{"cik": "', CAST(c_custkey AS STRING), '", "name": "', c_name, '", "filings": {"recent": {"accessionNumber": ["',
+       lpad(CAST(c_custkey AS STRING), 10, '0'), '-98-000001", "', lpad(CAST(c_custkey AS STRING), 10, '0'), '-98-000002", "', lpad(CAST(c_custkey AS STRING), 10, '0'), '-98-000003"], "form": ["D", "D/A", "8-K"], "filingDate": ["1998-01-05", "1998-02-0',
+       CAST(1 + c_custkey % 9 AS STRING), '"', CASE WHEN c_custkey % 5 <> 0 THEN ', "1998-03-05"' ELSE '' END, '], "primaryDocument": ["a.xml", "b.xml", "c.htm"]}}}') AS doc
+FROM customer""",
+    "shards": """
+SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS cik, concat('{"accessionNumber": ["', lpad(CAST(c_custkey AS STRING), 10, '0'), '-90-000001"], "form": ["D"], "filingDate": ["1990-07-01"], "primaryDocument": ["o.xml"]}') AS doc
+FROM customer WHERE c_custkey % 3 = 0""",
+    "forms": """
+SELECT o_orderkey AS source_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Form D' ELSE concat('D ', lpad(CAST(o_custkey AS STRING), 10, '0'), '-98-', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) END AS title,
+       concat('https://www.sec.gov/Archives/', CASE WHEN o_orderkey % 8 = 4 THEN 'x' ELSE concat(lpad(CAST(o_custkey AS STRING), 10, '0'), '98', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) END, '/a.xml') AS url,
+       concat('<edgarSubmission><primaryIssuer>', CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE concat('<cik>', CAST(o_custkey AS STRING), '</cik>') END, '<entityName>Customer ', CAST(o_custkey AS STRING), '</entityName></primaryIssuer><offeringData><typeOfFiling><newOrAmendment><isAmendment>',
+              CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END, '</isAmendment>', CASE WHEN o_orderkey % 5 = 0 THEN concat('<previousAccessionNumber>', CASE WHEN o_orderkey % 10 = 0 THEN 'unknown' ELSE '0000000001-98-000001' END, '</previousAccessionNumber>') ELSE '' END,
+              '</newOrAmendment><dateOfFirstSale>', CASE o_orderkey % 3 WHEN 0 THEN '<yetToOccur>true</yetToOccur>' WHEN 1 THEN '<value>1998-01-02</value>' ELSE '' END, '</dateOfFirstSale></typeOfFiling><offeringSalesAmounts><totalOfferingAmount>',
+              CASE WHEN o_orderkey % 6 = 0 THEN 'Indefinite' ELSE '1,000' END, '</totalOfferingAmount><totalAmountSold>', CASE o_orderkey % 17 WHEN 0 THEN 'n/a' WHEN 1 THEN 'Indefinite' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END, '</totalAmountSold></offeringSalesAmounts></offeringData></edgarSubmission>') AS doc
+FROM orders""",
+    "studies": """
+SELECT s_suppkey, concat('{"protocolSection": {"identificationModule": {"nctId": "NCT', lpad(CAST(s_suppkey AS STRING), 8, '0'), '"', CASE WHEN s_suppkey % 4 <> 0 THEN concat(', "briefTitle": "', s_name, '"') ELSE '' END, ', "officialTitle": "Study of ', s_name, '"}, "statusModule": {',
+       CASE WHEN s_suppkey % 3 = 0 THEN '"lastUpdatePostDateStruct": {"date": "2020-05-05"}, ' ELSE '' END, CASE WHEN s_suppkey % 2 = 0 THEN '"studyFirstPostDateStruct": {"date": "2019-01-01"}, ' ELSE '' END, '"startDateStruct": {"date": "2018-02"}}, "descriptionModule": {"briefSummary": "About it"}, "conditionsModule": {"conditions": ["one", "two"]}}}') AS doc
+FROM supplier""",
+    "results": """
+SELECT s_suppkey AS candidate, CASE s_suppkey % 3 WHEN 0 THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>', s_name, ' One</title><link href="/b?CIK=', CAST(s_suppkey AS STRING), '&amp;x=1"/></entry><entry><link href="/b?x=2"/></entry><entry><title>', s_name, ' Two</title><link href="/b?CIK=9', CAST(s_suppkey AS STRING), '"/></entry></feed>')
+         WHEN 1 THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><company-info><cik>', CAST(s_suppkey AS STRING), '</cik><conformed-name> ', s_name, ' </conformed-name></company-info></feed>') ELSE '<feed xmlns="http://www.w3.org/2005/Atom"/>' END AS atom,
+       concat('<table><tr><td><a href="/b?CIK=77', CAST(s_suppkey AS STRING), '&amp;y">77</a></td><td scope="row"> ', s_name, ' Html </td></tr></table>') AS html
+FROM supplier""",
+    # What readers wrote down of orders, to be validated.
+    "readings": """
+SELECT o_orderkey AS mention_id, CASE o_orderkey % 5 WHEN 0 THEN 'date' WHEN 1 THEN 'raised' WHEN 2 THEN 'note' ELSE 'amount' END AS attribute, CASE WHEN o_orderkey % 2 = 0 THEN 'funding_round/series_a' ELSE 'acquisition' END AS kind,
+       CASE o_orderkey % 6 WHEN 0 THEN concat('$', CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS STRING), 'K') WHEN 1 THEN 'undisclosed' WHEN 2 THEN '12 moons' ELSE concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), 'M') END AS value,
+       CASE o_orderkey % 7 WHEN 0 THEN 'EUR' WHEN 1 THEN NULL WHEN 2 THEN 'XXX' ELSE 'USD' END AS currency,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'it has raised this to date' WHEN o_orderkey % 13 = 0 THEN 'an extension of the round' ELSE o_orderpriority END AS passage, CASE WHEN o_orderkey % 3 = 0 THEN 'closed' END AS date_role,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Seed' WHEN 1 THEN 'series c' WHEN 2 THEN 'growth' END AS stage, CASE WHEN o_orderkey % 8 = 3 THEN 1.0E8 WHEN o_orderkey % 8 = 4 THEN 1.0E13 END AS post_money, CASE WHEN o_orderkey % 9 = 4 THEN 1.0E7 END AS cumulative
+FROM orders""",
+    # Pages as a fetcher got them.
+    "hits": """
+SELECT page_id, url, CASE WHEN page_id % 23 = 0 THEN 'https://data.sec.gov/moved' END AS landed, CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' WHEN page_id % 31 = 0 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type, html,
+       CAST(floor(page_id / 10) AS BIGINT) AS step, CAST(page_id % 10 AS INT) AS rank, concat('f', CAST(floor(page_id / 10) AS BIGINT)) AS formulation_id, concat('u', CAST(page_id % 137 AS STRING)) AS shared
+FROM pages""",
     "reader_a": "SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING)) AS id, l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS value, 1 - l_discount AS conf FROM lineitem",
     "reader_b": "SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(d.k AS STRING)) AS id, l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS value, 1 - l_tax AS conf FROM lineitem JOIN (VALUES (0), (1)) AS d(k) ON d.k = 0 OR l_linenumber % 6 = 0 WHERE l_linenumber % 5 <> 0",
     "scores": "SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN (d.n_chars % 100) / 100.0E0 ELSE 1 + (d.n_chars % 10) / 10.0E0 END AS score, (d.n_chars % 97) / 97.0E0 AS conf FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
@@ -99,7 +138,7 @@ FROM orders""",
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding over the tables of a folder, without registering any view."""
-    sql, frames = BINDINGS[name], {}
+    sql, frames = BINDINGS[name].replace("{", "{{").replace("}", "}}"), {}
     import re
 
     for t in ("orders", "customer", "lineitem", "events", "part", "supplier", "documents", "labels", "embeddings", "pages", "benchmark", "conversations"):

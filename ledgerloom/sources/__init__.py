@@ -1 +1 @@
-
+"""Readers of registries, pages and result lists, and the stores that keep them."""
