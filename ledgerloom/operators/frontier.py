@@ -153,3 +153,20 @@ def interpolated(curve: DataFrame, budgets: DataFrame, keys: list[str]) -> DataF
     b = c.join(F.broadcast(budgets), ((F.col("budget") >= F.col("cost")) & (F.col("cost2").isNull() | (F.col("budget") < F.col("cost2")))) | ((F.col("budget") < F.col("first")) & (F.col("cost") == F.col("first"))))
     share = F.greatest(F.lit(0.0), (F.col("budget") - F.col("cost")) / (F.col("cost2") - F.col("cost")))
     return b.select(*keys, "budget", F.when(F.col("cost2").isNull(), F.col("recall")).otherwise(F.col("recall") + share * (F.col("recall2") - F.col("recall"))).alias("recall"))
+
+
+def fallback_search(formulations: DataFrame) -> DataFrame:
+    """The pending search of greatest residual yield; ties by id."""
+    return formulations.where("not issued").withColumn("residual", residual_yield()).orderBy(F.desc("residual"), "formulation_id").limit(1)
+
+
+def eras(mentions: DataFrame) -> DataFrame:
+    """``stratum, eras``: the years that a stratum's mentions cover, in order."""
+    return mentions.where("year is not null").groupBy("stratum").agg(F.array_sort(F.collect_set("year")).alias("eras"))
+
+
+def attributed_steps(mentions: DataFrame, ledger: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Adds ``step`` and ``fell_back``: the first step of a mention's search in the ledger, else the step that proposed it, else 1."""
+    first = ledger.groupBy("formulation_id").agg(F.min("step").alias("_s"))
+    d = mentions.join(first, "formulation_id", "left").join(proposed.select("formulation_id", F.when(F.col("proposed") != 0, F.col("proposed")).alias("_p")), "formulation_id", "left")
+    return d.withColumns({"step": F.coalesce("_s", "_p", F.lit(1)), "fell_back": F.col("_s").isNull()}).drop("_s", "_p")

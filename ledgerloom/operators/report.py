@@ -44,13 +44,41 @@ def three_part(records: DataFrame, eps_er: float = 0.05, eps_recall: float = 0.0
     return a.withColumn("halfwidth", F.col("value_part") + F.col("join_part") + F.col("recall_part"))
 
 
-def menu(records: DataFrame, conflicts: DataFrame, length: int = MENU, floor: float = BELIEF_FLOOR) -> DataFrame:
+def menu(records: DataFrame, conflicts: DataFrame, claims: DataFrame | None = None, merges: DataFrame | None = None, alpha: float = 0.05, length: int = MENU, floor: float = BELIEF_FLOOR) -> DataFrame:
     """The checks by a person that would narrow the answer most.
 
-    ``records(record, value, belief, n_dead)`` give weak values and values that
-    rest on supersessions, ``conflicts(stratum)`` come first of all.
+    ``records(record, value, belief, n_dead, weak)`` give weak values, values whose
+    page does not name the entity, and those that rest on supersessions;
+    ``conflicts(stratum)`` come first of all; ``claims(stratum, belief, total)`` are
+    those that certify; each of the fragile ``merges(a, b)`` stakes an average value at the matcher's error ``alpha``.
     """
-    weak = records.where(F.col("belief") < floor).select(F.lit("value").alias("kind"), F.col("record").cast("string").alias("subject"), (F.col("value") * (1 - F.col("belief"))).alias("drop"))
-    dead = records.where("n_dead > 0").select(F.lit("supersession").alias("kind"), F.col("record").cast("string").alias("subject"), (F.col("value") * SUPERSESSION_WEIGHT).alias("drop"))
+    value = F.coalesce("value", F.lit(0.0))
+    weak = records.where((F.col("belief") < floor) | F.coalesce("weak", F.lit(False))).select(F.lit("value").alias("kind"), F.col("record").cast("string").alias("subject"), (value * (1 - F.col("belief"))).alias("drop"))
+    dead = records.where("n_dead > 0").select(F.lit("supersession").alias("kind"), F.col("record").cast("string").alias("subject"), (value * SUPERSESSION_WEIGHT).alias("drop"))
     first = conflicts.select(F.lit("conflict").alias("kind"), F.col("stratum").alias("subject"), F.lit(float("inf")).alias("drop"))
-    return first.unionByName(weak).unionByName(dead).orderBy(F.desc("drop"), "kind", "subject").limit(length)
+    out = first.unionByName(weak).unionByName(dead)
+    if claims is not None:
+        out = out.unionByName(claims.select(F.lit("claim").alias("kind"), F.col("stratum").alias("subject"), ((1 - F.col("belief")) * F.col("total")).alias("drop")))
+    if merges is not None:
+        mean = records.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_v"))
+        out = out.unionByName(merges.join(F.broadcast(mean)).select(F.lit("merge").alias("kind"), F.concat_ws("|", "a", "b").alias("subject"), (alpha * F.col("_v")).alias("drop")))  # one row
+    return out.orderBy(F.desc("drop"), "kind", "subject").limit(length)
+
+
+def fidelity_level(given: float | None, certificate: float | None) -> tuple[float, str]:
+    """The fidelity level and where it is from: stated, certified for the domain, or the fallback."""
+    if given is not None:
+        return given, "given"
+    return (certificate, "ltt") if certificate is not None else (FALLBACK_EPS_F, "fallback")
+
+
+def statistical_status(strata: DataFrame, eps: float = EPS_G) -> DataFrame:
+    """``stratum, passed, achieved`` of ``(stratum, n, u_hat, psi, claimed)``: estimate and radius below the level, and no fewer found than claimed."""
+    achieved = F.col("u_hat") + F.col("psi")
+    return strata.select("stratum", ((achieved < eps) & (F.col("claimed").isNull() | (F.col("n") >= F.col("claimed")))).alias("passed"), achieved.alias("achieved"))
+
+
+def with_known_strata(records: DataFrame, strata: DataFrame) -> DataFrame:
+    """A row for every stratum that has records or that a search knew of, those without records with n = 0 and total = 0."""
+    r = records.join(strata.select("stratum").distinct(), "stratum", "full")
+    return r.withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0.0))})

@@ -124,3 +124,8 @@ def fallback_level(rho: float, delta_e: float, delta_b: float, v_split: float, a
 
 def cohort_needed(eps: float = EPS_TARGET, delta: float = DELTA_F) -> int:
     return math.ceil(math.log(1 / delta) / (2 * eps * eps))
+
+
+def floor_of(n: int, delta: float = DELTA_F) -> float:
+    """The level that n entities without any loss reach."""
+    return math.sqrt(math.log(1 / delta) / (2 * n))

@@ -121,6 +121,16 @@ FROM orders""",
 SELECT page_id, url, CASE WHEN page_id % 23 = 0 THEN 'https://data.sec.gov/moved' END AS landed, CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' WHEN page_id % 31 = 0 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type, html,
        CAST(floor(page_id / 10) AS BIGINT) AS step, CAST(page_id % 10 AS INT) AS rank, concat('f', CAST(floor(page_id / 10) AS BIGINT)) AS formulation_id, concat('u', CAST(page_id % 137 AS STRING)) AS shared
 FROM pages""",
+    # Amounts that the web tells of filings: as filed, a little off, far off, or no number.
+    "told": """
+SELECT o_orderkey AS mention_id, o_custkey AS entity, CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) WHEN 1 THEN CAST(CAST(floor(o_totalprice * 1.01) AS BIGINT) AS STRING) WHEN 2 THEN CAST(CAST(floor(o_totalprice * 1.3) AS BIGINT) AS STRING) WHEN 3 THEN 'undisclosed' ELSE CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS STRING) END AS value,
+       CAST(floor(o_totalprice) AS DOUBLE) AS filed, o_orderkey % 3 <> 0 AS is_filed
+FROM orders""",
+    # Two mentions of most orders, a day or some per cent apart.
+    "sightings": """
+SELECT concat(CAST(o.o_orderkey AS STRING), '/', CAST(s.k AS STRING)) AS mention_id, o.o_custkey % 200 AS entity, CAST(o.o_orderdate AS DATE) + CASE WHEN s.k = 1 AND o.o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS date,
+       CAST(floor(o.o_totalprice) AS DOUBLE) * (1 + s.k * (o.o_orderkey % 5) / 20.0E0) AS number
+FROM orders o JOIN (VALUES (0), (1)) AS s(k) ON s.k = 0 OR o.o_orderkey % 7 <> 0""",
     "reader_a": "SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING)) AS id, l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS value, 1 - l_discount AS conf FROM lineitem",
     "reader_b": "SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(d.k AS STRING)) AS id, l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS value, 1 - l_tax AS conf FROM lineitem JOIN (VALUES (0), (1)) AS d(k) ON d.k = 0 OR l_linenumber % 6 = 0 WHERE l_linenumber % 5 <> 0",
     "scores": "SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN (d.n_chars % 100) / 100.0E0 ELSE 1 + (d.n_chars % 10) / 10.0E0 END AS score, (d.n_chars % 97) / 97.0E0 AS conf FROM labels l JOIN documents d ON l.doc_id = d.doc_id",

@@ -422,14 +422,25 @@ def temporal_feature(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.round(E.temporal(F.col("o_orderdate"), F.expr("timestamp_ntz '1998-01-01 00:00:00'")), 9).alias("plausibility"))
 
 
-_COS = """x AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10)"""
+def _plane_sql(band: int) -> str:
+    import numpy as np
+
+    planes = np.random.default_rng(band).standard_normal((E.BITS, 64))
+    side = lambda p: "CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), [" + ", ".join(repr(float(x)) for x in p) + "]) > 0 THEN '1' ELSE '0' END"
+    return f"'lsh{band}:' || " + " || ".join(map(side, planes))
+
+
+_BANDS = "bd AS (" + " UNION ALL ".join(f"SELECT vec_id, label, embedding, {_plane_sql(b)} AS block FROM embeddings" for b in range(E.BANDS)) + ")"
+_COS = f"{_BANDS}, bp AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM bd a JOIN bd b ON a.block = b.block AND a.label = b.label AND a.vec_id < b.vec_id), x AS (SELECT a, b, list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine FROM bp JOIN embeddings p ON p.vec_id = a JOIN embeddings q ON q.vec_id = b)"
 
 
 def _cosines(spark, d):
-    e = _t(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label", (F.col("vec_id") + 10).alias("b"))
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return a.join(b, ["b", "label"]).select("a", "b", E.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    """All pairs of one label that share a hyperplane block."""
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    blocks = _blocked(spark, d).join(e.select(F.col("vec_id").alias("mention_id"), "label"), "mention_id")
+    p = E.candidate_pairs(blocks.select("mention_id", F.transform("blocks", lambda b: F.concat_ws("|", b, F.col("label").cast("string"))).alias("blocks"))).select("a", "b")
+    p = p.join(e.selectExpr("vec_id as a", "embedding as x"), "a").join(e.selectExpr("vec_id as b", "embedding as y"), "b")
+    return p.select("a", "b", E.cosine(F.col("x"), F.col("y")).alias("cosine"))
 
 
 @query(f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM x")
@@ -447,7 +458,7 @@ def _blocked(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.array(*[E.plane_bucket(F.col("embedding"), 64, b) for b in range(E.BANDS)]).alias("blocks"))
 
 
-@query()
+@query(f"WITH {_BANDS} SELECT vec_id AS mention_id, block FROM bd")
 def lsh_bands(spark, d):
     return _blocked(spark, d).select("mention_id", F.explode("blocks").alias("block"))
 
@@ -555,11 +566,11 @@ reg AS (SELECT DISTINCT stratum, record, amount FROM v_mentions WHERE source_cla
 fr AS (SELECT DISTINCT a.stratum FROM reg a JOIN reg b ON a.stratum = b.stratum AND a.record < b.record AND abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.002),
 cov AS (SELECT s.*, CASE WHEN f2 > 0 THEN f1 * f1 / 3.0E0 / f2 ELSE f1 * (f1 - 1) / 3.0E0 END AS chao, fr.stratum IS NOT NULL AS fragile FROM sums s JOIN ff USING (stratum) LEFT JOIN fr ON fr.stratum = s.stratum),
 j AS (SELECT cov.*, claimed, belief, v, b_v, tolerance + slack AS slop FROM cov LEFT JOIN cb USING (stratum) LEFT JOIN sc USING (stratum)),
-k AS (SELECT *, CASE WHEN n = claimed AND NOT fragile THEN 'COUNT' WHEN v IS NULL OR coalesce(n >= claimed, false) THEN NULL WHEN coalesce(n < claimed, false) THEN NULL WHEN greatest(0, v - total) + slop <= 0.02 * v THEN 'SUM' END AS kind0,
+kd AS (SELECT *, CASE WHEN n = claimed AND NOT fragile THEN 'COUNT' WHEN v IS NULL OR coalesce(n >= claimed, false) THEN NULL WHEN coalesce(n < claimed, false) THEN NULL WHEN greatest(0, v - total) + slop <= 0.02 * v THEN 'SUM' END AS kind0,
       CASE WHEN n > claimed THEN 'found_more_than_claimed' WHEN n = claimed AND fragile THEN 'fragile_entity' END AS conflict0 FROM j),
 chk AS (SELECT stratum, n, total, claimed, CASE WHEN chao > 2 THEN NULL ELSE kind0 END AS kind, CASE WHEN kind0 IS NOT NULL AND chao > 2 THEN 'chao_vs_checksum' ELSE conflict0 END AS conflict,
         CASE WHEN n < claimed THEN claimed - n END AS count_gap, CASE WHEN kind0 IS NULL AND conflict0 IS NULL AND v - total > slop THEN v - total END AS value_gap,
-        CASE WHEN chao > 2 THEN NULL WHEN kind0 = 'COUNT' THEN belief WHEN kind0 = 'SUM' THEN b_v END AS belief, CASE WHEN kind0 = 'SUM' AND chao <= 2 THEN greatest(0, v - total) + slop END AS delta_plus, v FROM k),
+        CASE WHEN chao > 2 THEN NULL WHEN kind0 = 'COUNT' THEN belief WHEN kind0 = 'SUM' THEN b_v END AS belief, CASE WHEN kind0 = 'SUM' AND chao <= 2 THEN greatest(0, v - total) + slop END AS delta_plus, v FROM kd),
 checked AS (SELECT *, CASE WHEN kind IS NOT NULL THEN 'certified' WHEN conflict IS NOT NULL THEN 'conflict' WHEN count_gap IS NOT NULL OR value_gap IS NOT NULL THEN 'gap' WHEN claimed IS NULL AND v IS NULL THEN 'none' ELSE 'open' END AS outcome FROM chk)"""
 
 
@@ -634,11 +645,34 @@ def three_part_ci(spark, d):
     return R.three_part(a).select(F.round("total", 4).alias("total"), F.round("value_part", 4).alias("value_part"), F.round("join_part", 6).alias("join_part"), F.round("recall_part", 4).alias("recall_part"))
 
 
-@query(f"""{_BELIEF}, m AS (SELECT 'value' AS kind, CAST(cell AS STRING) AS subject, round(value * (1 - belief), 6) AS gain FROM a WHERE belief < 0.995) SELECT * FROM m ORDER BY gain DESC, kind, subject LIMIT 5""", "cells")
+_MENU = f"""{_CHECK}, {_BELIEF}, frag AS (SELECT a.stratum, a.record AS a, b.record AS b FROM reg a JOIN reg b ON a.stratum = b.stratum AND a.record < b.record AND abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.00005),
+mn AS (SELECT 'conflict' AS kind, stratum AS subject, CAST('inf' AS DOUBLE) AS gain FROM checked WHERE conflict = 'fragile_entity' AND n > 25
+UNION ALL SELECT 'claim', stratum, (1 - belief) * total FROM checked WHERE outcome = 'certified'
+UNION ALL SELECT 'merge', a || '|' || b, 0.05 * (SELECT avg(value) FROM a) FROM frag
+UNION ALL SELECT 'value', CAST(cell AS STRING), value * (1 - belief) FROM a WHERE belief < 0.7 OR cell % 50 = 0
+UNION ALL SELECT 'supersession', CAST(cell AS STRING), value * 0.1 FROM a WHERE cell % 3 = 0)"""
+
+
+@query(f"{_MENU}, rk AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(gain, 6) DESC, subject) AS r FROM mn) SELECT kind, subject, round(gain, 6) AS gain FROM mn ORDER BY gain DESC, kind, subject LIMIT 5", "mentions", "statements", "cells")
 def verify_menu(spark, d):
-    a = B.adopted(_beliefs(spark, d)).select(F.col("cell").alias("record"), F.col("value").cast("double").alias("value"), F.col("belief"), F.lit(0).alias("n_dead"))
-    none = spark.createDataFrame([], "stratum string")
-    return R.menu(a, none, floor=0.995).select("kind", "subject", F.round("drop", 6).alias("gain"))
+    return _menu(spark, d).limit(5)
+
+
+@query(f"{_MENU} SELECT kind, count(*) AS n, round(sum(CASE WHEN isinf(gain) THEN 0 ELSE gain END), 2) AS gain FROM mn GROUP BY kind", "mentions", "statements", "cells")
+def menu_mix(spark, d):
+    """Every candidate of the menu, by kind."""
+    return _menu(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("gain") == float("inf"), 0.0).otherwise(F.col("gain"))), 2).alias("gain"))
+
+
+def _menu(spark, d):
+    a = B.adopted(_beliefs(spark, d)).select(F.col("cell").alias("record"), F.col("value").cast("double").alias("value"), "belief", (F.col("cell") % 3 == 0).cast("int").alias("n_dead"), (F.col("cell") % 50 == 0).alias("weak"))
+    c = _checked(spark, d)
+    total = _coverage(spark, d).select("stratum", "total")
+    certified = c.where("outcome = 'certified'").join(total, "stratum").select("stratum", "belief", "total")
+    found = _amounts(spark, d).where("source_class = 'regulatory'").select(F.col("stratum").alias("entity"), F.col("record").alias("key"), "amount").distinct()
+    merges = T.close_amounts(found, 0.000025).select("a", "b")
+    m = R.menu(a, c.where("conflict = 'fragile_entity' and n > 25").select("stratum"), certified, merges, length=2**31 - 1)
+    return m.select("kind", "subject", F.round("drop", 6).alias("gain"))
 
 
 # Gate and audit
@@ -664,7 +698,7 @@ def conformal_accept(spark, d):
     return gate.accepted(s, gate.threshold(s)).select("id", "accepted")
 
 
-@query()
+@query("""s AS (SELECT id, score, (row_number() OVER (ORDER BY score, id) - 1) % 4 AS stripe FROM v_scores), r AS (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY md5('0|' || id), id) AS r FROM s) SELECT id, stripe FROM r WHERE r <= 5""", "scores")
 def audit_sample(spark, d):
     return gate.audit_stripes(bound(spark, d, "scores"), 5).select("id", "stripe")
 
@@ -733,7 +767,7 @@ def truth_align_key(spark, d):
 
 # Streams
 
-@query()
+@query(f"{_FREQ} SELECT * FROM f", "covered")
 def stream_occasions(spark, d):
     from ledgerloom.streaming.occasions import replay
 
