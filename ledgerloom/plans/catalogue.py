@@ -646,7 +646,7 @@ def three_part_ci(spark, d):
 
 
 _MENU = f"""{_CHECK}, {_BELIEF}, frag AS (SELECT a.stratum, a.record AS a, b.record AS b FROM reg a JOIN reg b ON a.stratum = b.stratum AND a.record < b.record AND abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.00005),
-mn AS (SELECT 'conflict' AS kind, stratum AS subject, CAST('inf' AS DOUBLE) AS gain FROM checked WHERE conflict = 'fragile_entity' AND n > 25
+mn AS (SELECT 'conflict' AS kind, stratum AS subject, CAST('inf' AS DOUBLE) AS gain FROM checked WHERE conflict = 'fragile_entity' AND n > 12
 UNION ALL SELECT 'claim', stratum, (1 - belief) * total FROM checked WHERE outcome = 'certified'
 UNION ALL SELECT 'merge', a || '|' || b, 0.05 * (SELECT avg(value) FROM a) FROM frag
 UNION ALL SELECT 'value', CAST(cell AS STRING), value * (1 - belief) FROM a WHERE belief < 0.7 OR cell % 50 = 0
@@ -671,7 +671,7 @@ def _menu(spark, d):
     certified = c.where("outcome = 'certified'").join(total, "stratum").select("stratum", "belief", "total")
     found = _amounts(spark, d).where("source_class = 'regulatory'").select(F.col("stratum").alias("entity"), F.col("record").alias("key"), "amount").distinct()
     merges = T.close_amounts(found, 0.000025).select("a", "b")
-    m = R.menu(a, c.where("conflict = 'fragile_entity' and n > 25").select("stratum"), certified, merges, length=2**31 - 1)
+    m = R.menu(a, c.where("conflict = 'fragile_entity' and n > 12").select("stratum"), certified, merges, length=2**31 - 1)
     return m.select("kind", "subject", F.round("drop", 6).alias("gain"))
 
 
