@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(texts):
         import pandas as pd
 
-        found = [x for i in range(0, len(texts), 256) for x in shared.value.predict_all(texts.iloc[i : i + 256].tolist())]
+        found = [x for i in range(0, len(texts), 64) for x in shared.value.predict_all(texts.iloc[i : i + 64].tolist())]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return docs.select("*", predict(docs[text_col]).alias(free(docs.columns, "language")))

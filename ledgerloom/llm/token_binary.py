@@ -36,7 +36,7 @@ MAGIC = b"LLPLANE1"
 #: Ids of a chunk.
 BLOCK = 65_536
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _FOOTER = struct.Struct("<qqqq8s8s")
 #: A run of letters that the tokenizer leaves alone, then punctuation that it always parts from them.
@@ -174,6 +174,11 @@ class WordEncoder:
         """Little-endian 32-bit ids."""
         return b"".join(map(self.words.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else b""
 
+    def forget(self) -> None:
+        """Give the memory back; a worker outlives its task."""
+        for known in (self.words, self.plain, self.other):
+            known.clear()
+
     def _word(self, word: bytes) -> bytes:
         if b"<" not in word and (m := _PLAIN.match(word.lower().decode("utf-8", "replace"))):
             letters, marks = m.groups()
@@ -234,6 +239,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
                     out.add(doc_id.as_py(), np.frombuffer(enc.encode(text.as_py()) + end, "<u4"))
                 batch = next(batches, None)
             out.close()
+        enc.forget()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "size": [size_of(path)], "n_docs": [len(out.docs) // 4], "n_ids": [out.n_ids]})
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
