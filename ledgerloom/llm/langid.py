@@ -120,7 +120,7 @@ class LanguageModel:
             return out
         plain = np.stack([features(texts[i]) for i in rows])
         x = self._ready(plain)
-        sure = 1 / (1 + np.exp(-4.0 * np.clip(x @ self.weights.T, -50, 50)))
+        sure = 1 / (1 + np.exp(-4.0 * np.clip(np.einsum("ij,kj->ik", x, self.weights), -50, 50)))
         n = len(self.families) if len(self.families) > 1 else 0
         family = np.argmax(sure[:, :n], axis=1) if n else np.zeros(len(rows), int)
         score = sure[np.arange(len(rows)), family] if n else np.ones(len(rows))
@@ -169,16 +169,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     keys = d.select("lang", "h").where(F.col("lang").isin([r.lang for r in langs])).distinct()
     for part in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
         keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("r") <= each).drop("r")
-    rows = d.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    rows = d.join(F.broadcast(keys), ["lang", "h"])  # at most `sample` keys
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            got = [(v, h, features(t).astype(np.float16).tobytes()) for v, h, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
+            new = [(v, h, t) for v, h, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t) and (v, h) not in seen and not seen.add((v, h))]
+            got = [(v, h, features(t).astype(np.float16).tobytes()) for v, h, t in new]
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
 
-    got = sorted((r.lang, r.h, bytes(r.x)) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary").toLocalIterator())
-    x = np.frombuffer(b"".join(r[2] for r in got), np.float16).reshape(-1, CELLS).astype(np.float32)
-    return LanguageModel([r[0] for r in got], x)
+    # A task sends a repeated row once, the driver keeps one.
+    got = {(r.lang, r.h): bytes(r.x) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary").toLocalIterator()}
+    x = np.frombuffer(b"".join(got[k] for k in sorted(got)), np.float16).reshape(-1, CELLS).astype(np.float32)
+    return LanguageModel([v for v, _ in sorted(got)], x)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -192,12 +195,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
-
-        found = [x for i in range(0, len(texts), 64) for x in shared.value.predict_all(texts.iloc[i : i + 64].tolist())]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [x for i in range(0, len(texts), 64) for x in shared.value.predict_all(texts.slice(i, 64).to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
 
     return docs.select("*", predict(docs[text_col]).alias(free(docs.columns, "language")))
 
