@@ -200,6 +200,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         found = [x for i in range(0, len(texts), 64) for x in shared.value.predict_all(texts.slice(i, 64).to_pylist())]
         return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
 
+    # Else a filter on the answer would have it worked out a second time, by a second worker.
+    predict = predict.asNondeterministic()
     return docs.select("*", predict(docs[text_col]).alias(free(docs.columns, "language")))
 
 
