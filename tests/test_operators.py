@@ -70,12 +70,51 @@ def test_verbatim_run(spark):
 
 
 def test_checksum_branches(spark):
-    cover = spark.createDataFrame([("a", 2, 0.0, False), ("b", 3, 0.0, False), ("c", 4, 0.0, False), ("d", 3, 3.0, False), ("e", 3, 0.0, True)], "stratum string, n long, chao double, fragile boolean")
+    rows = [("a", 2, 0.0, False), ("b", 3, 0.0, False), ("c", 4, 0.0, False), ("d", 3, 3.0, False), ("e", 3, 0.0, True)]
+    cover = spark.createDataFrame([(s, n, 10e6, 0.0, chao, fragile) for s, n, chao, fragile in rows] + [("f", 3, 63e6, 0.3e6, 0.0, False), ("g", 3, 40e6, 0.3e6, 0.0, False), ("h", 1, 1.0, 0.0, 0.0, False)], "stratum string, n long, total double, slack double, chao double, fragile boolean")
     counts = spark.createDataFrame([(s, 3, 0.51) for s in "abcde"], "stratum string, claimed long, belief double")
-    got = {r.stratum: (r.outcome, r.gap) for r in C.count_checksum(cover, counts).collect()}
-    assert got == {"a": ("gap", 1), "b": ("certified", None), "c": ("conflict:found_more_than_claimed", None), "d": ("conflict:chao_vs_checksum", None), "e": ("conflict:fragile_entity", None)}
-    s = C.sum_checksum(spark.createDataFrame([("a", 63e6, 0.3e6)], "stratum string, total double, slack double"), spark.createDataFrame([("a", 63e6, 0.5e6, 0.51)], "stratum string, v double, tolerance double, belief double")).first()
-    assert s.delta_plus == pytest.approx(0.8e6) and s.outcome == "certified"
+    sums = spark.createDataFrame([(s, 63e6, 0.5e6, 0.51) for s in "fg"], "stratum string, v double, tolerance double, belief double")
+    got = {r.stratum: r for r in C.checksum(cover, counts, sums).collect()}
+    assert {s: (r.outcome, r.kind, r.conflict) for s, r in got.items()} == {
+        "a": ("gap", None, None), "b": ("certified", "COUNT", None), "c": ("conflict", None, "found_more_than_claimed"), "d": ("conflict", None, "chao_vs_checksum"),
+        "e": ("conflict", None, "fragile_entity"), "f": ("certified", "SUM", None), "g": ("gap", None, None), "h": ("none", None, None),
+    }
+    assert got["a"].count_gap == 1 and got["f"].delta_plus == pytest.approx(0.8e6) and got["f"].belief == 0.51 and got["g"].value_gap == pytest.approx(23e6)
+
+
+def test_a_revoked_conflict_is_vetoed_too(spark):
+    d = "stratum string, outcome string, conflict string, count_gap long"
+    before = spark.createDataFrame([("a", "certified", None, None), ("b", "certified", None, None), ("c", "gap", None, 1), ("d", "gap", None, 1), ("e", "certified", None, None)], d)
+    after = spark.createDataFrame([("a", "conflict", "x", None), ("b", "gap", None, 2), ("c", "certified", None, None), ("d", "conflict", "x", None), ("e", "open", None, None)], d)
+    got = {r.stratum: (r.revoked, r.action) for r in C.revalidated(before, after).collect()}
+    assert got == {"a": ("conflict", "VETO"), "b": ("count_gap", "REVOKE"), "c": (None, "CERTIFY"), "d": (None, "VETO"), "e": ("checksum_open", "REVOKE")}
+
+
+def test_leaders_take_the_claims_tolerance(spark):
+    c = spark.createDataFrame([("c1", "s1", "g", "SUM", 100.0, 0.0), ("c2", "s2", "g", "SUM", 100.502, 0.0)], "claim_id string, source_id string, stratum string, functional string, value_num double, tolerance double")
+    assert [(r.leader, r.members) for r in C.leader_groups(c).collect()] == [(100.0, 2)]
+
+
+def test_stale_echoes_die_with_their_origin(spark):
+    """A filing says 35, its press page and twelve copies too; its amendment says 40 and is all that lives."""
+    rows = [("reg", 1, "35", True, "c", "Form D"), ("press", 2, "35", False, None, "page"), ("new", 90, "40", True, "c", "Form D/A")] + [(f"blog{i}", 3 + i, "35", False, None, "page") for i in range(12)]
+    w = spark.createDataFrame([("cell", s, t, v, a, c, k, 0.95 if a else 0.3, f"m{s}") for s, t, v, a, c, k in rows], "cell string, source_id string, ts long, value string, anchored boolean, chain string, doc_type string, q double, mention_id string")
+    edges = spark.createDataFrame([("cell", "reg", "press")] + [("cell", "press", f"blog{i}") for i in range(12)] + [("cell", "blog3", "new")], "cell string, src string, dst string")
+    stale = P.stale_sources(edges, P.dead_sources(P.superseded_in_chain(w), w), w)
+    got = B.live_beliefs(w, edges, stale).collect()
+    assert [(r.value, r.nu, r.n_dead) for r in got] == [("40", 1, 14)]
+    everything = w.select("cell", "source_id").distinct()
+    assert {(r.value, r.nu, r.n_dead) for r in B.live_beliefs(w, edges, everything).collect()} == {("35", 1, 0), ("40", 1, 0)}
+
+
+def test_names_lose_any_mark(spark):
+    assert one(spark, V.resolver_name(F.col("s")), s="Škoda Őrség Ñandú Ltd.") == "nandu orseg skoda"
+
+
+def test_clusters_move_to_no_gain_rather_than_a_loss():
+    w = {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): -2.0}
+    of = E.cluster_signed(["a", "b", "c"], w)
+    assert of["b"] != of["c"]
 
 
 def test_four_regimes(spark):
