@@ -6,6 +6,9 @@ passage, chain, t_asof)``; functional is COUNT or SUM.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.values import QBAR
@@ -58,19 +61,22 @@ def leader_members(claims: DataFrame) -> DataFrame:
     """
     c = claims.where("functional = 'SUM'").groupBy("stratum", "value_num").agg(F.count("*").alias("n"), F.max(F.coalesce("tolerance", F.lit(0.0))).alias("tol"))
 
-    def group(pdf):
-        leaders: list[list[float]] = []
-        of = []
-        pdf = pdf.sort_values("value_num")
-        for v, tol in pdf[["value_num", "tol"]].itertuples(index=False):
-            near = next((g for g in leaders if abs(v - g[0]) <= max(g[1], tol, GROUP_TOLERANCE * abs(v))), None)
-            if near is None:
-                leaders.append(near := [float(f"{v:.6g}"), tol])
-            near[1] = max(near[1], tol)
-            of.append(near[0])
-        return pdf.assign(leader=of)[["stratum", "value_num", "n", "tol", "leader"]]
-
-    return c.groupBy("stratum").applyInPandas(group, "stratum string, value_num double, n long, tol double, leader double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders = None, []
+        for batch in batches:
+            of = []
+            for stratum, v, tol in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if stratum != at:
+                    at, leaders = stratum, []
+                near = next((g for g in leaders if abs(v - g[0]) <= max(g[1], tol, GROUP_TOLERANCE * abs(v))), None)
+                if near is None:
+                    leaders.append(near := [float(f"{v:.6g}"), tol])
+                near[1] = max(near[1], tol)
+                of.append(near[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.float64())], ["stratum", "value_num", "n", "tol", "leader"])
+
+    c = c.where("stratum is not null and value_num is not null").select("stratum", "value_num", "n", "tol")
+    return c.repartition("stratum").sortWithinPartitions("stratum", "value_num").mapInArrow(run, "stratum string, value_num double, n long, tol double, leader double")
 
 
 def leader_groups(claims: DataFrame) -> DataFrame:

@@ -66,6 +66,10 @@ def accession_of(title: Column, url: Column) -> Column:
     return F.when(named != "", named).when(digits != "", cut).otherwise("")
 
 
+FORM = """primaryIssuer struct<cik: string, entityName: string>, offeringData struct<typeOfFiling: struct<newOrAmendment: struct<isAmendment: string, previousAccessionNumber: string>,
+dateOfFirstSale: struct<value: string, yetToOccur: string>>, offeringSalesAmounts: struct<totalOfferingAmount: string, totalAmountSold: string>>"""
+
+
 def _money(text: Column) -> Column:
     return F.regexp_replace(text, "[,$]", "").try_cast("double")
 
@@ -76,13 +80,15 @@ def parsed_forms(sources: DataFrame) -> DataFrame:
     A document that is not well-formed XML stops the query: a table of truth is
     whole or loudly broken. What is missing or unreadable is flagged.
     """
-    x = lambda path: F.nullif(F.btrim(F.xpath_string("doc", F.lit(path))), F.lit(""))
-    at = "/*/offeringData/typeOfFiling"
-    d = sources.select(
-        "source_id", accession_of(F.col("title"), F.col("url")).alias("accession"), x("/*/primaryIssuer/cik").alias("cik"), x("/*/primaryIssuer/entityName").alias("entity"),
-        (F.lower(F.coalesce(x(f"{at}/newOrAmendment/isAmendment"), F.lit(""))) == "true").alias("is_amendment"), x(f"{at}/newOrAmendment/previousAccessionNumber").alias("previous"),
-        x(f"{at}/dateOfFirstSale/value").alias("first_sale"), (F.lower(F.coalesce(x(f"{at}/dateOfFirstSale/yetToOccur"), F.lit(""))) == "true").alias("yet"),
-        x("/*/offeringData/offeringSalesAmounts/totalAmountSold").alias("sold"), x("/*/offeringData/offeringSalesAmounts/totalOfferingAmount").alias("offer"),
+    # Each document is read once, into a struct.
+    d = sources.select("source_id", accession_of(F.col("title"), F.col("url")).alias("accession"), F.from_xml("doc", FORM, {"mode": "FAILFAST"}).alias("x"))
+    x = lambda path: F.nullif(F.btrim(F.col(f"x.{path}")), F.lit(""))
+    at, sales = "offeringData.typeOfFiling", "offeringData.offeringSalesAmounts"
+    d = d.select(
+        "source_id", "accession", x("primaryIssuer.cik").alias("cik"), x("primaryIssuer.entityName").alias("entity"),
+        (F.lower(F.coalesce(x(f"{at}.newOrAmendment.isAmendment"), F.lit(""))) == "true").alias("is_amendment"), x(f"{at}.newOrAmendment.previousAccessionNumber").alias("previous"),
+        x(f"{at}.dateOfFirstSale.value").alias("first_sale"), (F.lower(F.coalesce(x(f"{at}.dateOfFirstSale.yetToOccur"), F.lit(""))) == "true").alias("yet"),
+        x(f"{sales}.totalAmountSold").alias("sold"), x(f"{sales}.totalOfferingAmount").alias("offer"),
     )
     indefinite = lambda c: F.coalesce(F.lower(c) == "indefinite", F.lit(False))
     flags = F.array_compact(F.array(
