@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
+from ledgerloom.operators import screening
 from ledgerloom.plans.bindings import bound
 from ledgerloom.plans.catalogue import _CUR, _HOST, _RATE, _SCALE_CASE, _SPELL, _SUFFIXES, _TOL, _class_case, _t, query  # noqa: F401
 from ledgerloom.sources import pages, registry, store
@@ -120,6 +121,16 @@ def browse_matches(spark, d):
     return registry.browse_matches(bound(spark, d, "results"))
 
 
+@query(f"""WITH {_FOUND}, pr AS (SELECT candidate, cik, registered FROM bm WHERE candidate % 3 <> 2)
+SELECT s_suppkey AS candidate, CASE s_suppkey % 3 WHEN 0 THEN 'weak_match' WHEN 1 THEN 'ok' ELSE 'no_match' END AS verdict, CASE s_suppkey % 3 WHEN 0 THEN lpad(CAST(s_suppkey AS STRING), 10, '0') WHEN 1 THEN lpad(CAST(s_suppkey AS STRING), 10, '0') END AS cik,
+CASE s_suppkey % 3 WHEN 0 THEN 0.75E0 WHEN 1 THEN 1.0E0 END AS score, CASE s_suppkey % 3 WHEN 0 THEN s_name || ' Two' ELSE '' END AS alternates FROM supplier""")
+def screen_names(spark, d):
+    """Suppliers looked up by their own names; every third has no result at all."""
+    names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("candidate"), F.concat(F.lit("The "), F.col("s_name"), F.lit(", Inc.")).alias("name"))
+    found = registry.browse_matches(bound(spark, d, "results")).where("candidate % 3 <> 2")
+    return screening.screened(names, found).select("candidate", "verdict", "cik", "score", F.array_join("alternates", ";").alias("alternates"))
+
+
 # Readings
 
 _A = V.AMOUNT_SPELLING

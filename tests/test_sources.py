@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import harvest
+from ledgerloom.operators import harvest, screening
 from ledgerloom.operators.matching import bounded_blocks, fit_matcher, partial_ratio
 from ledgerloom.operators.ranks import running
 from ledgerloom.sources import pages, registry, store
@@ -99,3 +99,10 @@ def test_bounded_blocks_split_only_large_ones(spark):
 def test_running_places(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r.place == r.v + 1 for r in running(d, ["v"]).collect())
+
+
+def test_screening_verdicts(spark):
+    names = spark.createDataFrame([(1, "Databricks"), (2, "Affirm"), (3, "Robinhood"), (4, "Nobody"), (5, None)], "candidate long, name string")
+    found = spark.createDataFrame([(1, "a", "Databricks, Inc."), (2, "b", "AFFIRMXH INC"), (3, "c", "Robinhood Secondary Two Fund"), (3, "d", "Robinhood Markets, Inc."), (3, "e", "Zed"), (5, "f", "Acme")], "candidate long, cik string, registered string")
+    got = {r.candidate: (r.verdict, r.cik, r.alternates) for r in screening.screened(names, found).collect()}
+    assert got == {1: ("ok", "a", []), 2: ("weak_match", "b", []), 3: ("weak_match", "d", ["Robinhood Secondary Two Fund"]), 4: ("no_match", None, []), 5: ("no_match", None, [])}
