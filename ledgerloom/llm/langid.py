@@ -21,6 +21,8 @@ from ledgerloom.llm.common import free, narrow
 #: Trigram cells, and labelled documents that training uses at most (over all languages, evenly).
 CELLS, SAMPLE = 4096, 4000
 PIECE = 1 << 20
+#: Rows or columns of the sample that training copies at a time.
+STEP = 256
 #: Parts of a language whose least hashes are found first.
 SALTS = 64
 
@@ -63,46 +65,58 @@ def features(text: str) -> np.ndarray:
     return (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 20, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) of an L2-loss linear SVM; y is +1 or -1."""
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 20, seed: int = 0, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the bias) of an L2-loss linear SVM; y is +1 or -1.
+
+    ``rows`` are the places in x that y tells of, all by default: x is never copied.
+    """
     rng, n = np.random.default_rng(seed), len(y)
+    rows = np.arange(n) if rows is None else rows
     w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(n)
     balance = c * n / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
-    q = (x * x).sum(1) + 1 / (2 * balance)
+    q = np.concatenate([(x[r] * x[r]).sum(1) for r in np.array_split(rows, n // STEP + 1)]) + 1 / (2 * balance)
     for _ in range(passes):
         for i in rng.permutation(n):
-            g = y[i] * float(w @ x[i]) - 1 + alpha[i] / (2 * balance[i])
+            v = x[rows[i]]
+            g = y[i] * float(w @ v) - 1 + alpha[i] / (2 * balance[i])
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * v
                 alpha[i] = new
     return w
 
 
 class LanguageModel:
-    """Families, their languages and all machines in one weight matrix."""
+    """Families, their languages and all machines in one weight matrix.
+
+    Training holds one single-precision copy of x and small pieces besides: the
+    driver of a cluster has little memory.
+    """
 
     def __init__(self, langs: list[str], x: np.ndarray) -> None:
         y = np.array(langs)
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(v) for v in self.langs})
         self.members = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
-        self.scale = 1 / (x.std(0) + 1e-4) if len(x) else np.ones(CELLS, np.float32)
+        columns = [slice(at, at + STEP) for at in range(0, CELLS, STEP)]
+        self.scale = 1 / (np.concatenate([x[:, c].astype(np.float32).std(0) for c in columns]) + 1e-4) if len(x) else np.ones(CELLS, np.float32)
         # How much likelier each cell is in a language than in noise, in nats.
-        self.profile = np.log(0.1 + 0.9 * CELLS * np.array([x[y == v].mean(0) for v in self.langs])) if self.langs else np.zeros((0, CELLS))
+        self.profile = np.log(0.1 + 0.9 * CELLS * np.array([np.concatenate([x[y == v, c].astype(np.float32).mean(0) for c in columns]) for v in self.langs])) if self.langs else np.zeros((0, CELLS))
         x = self._ready(x)
         of = np.array([family_of(v) for v in langs])
         rows = [train_svm(x, np.where(of == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = [(a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
         for a, b in self.pairs:
-            own = (y == a) | (y == b)
-            rows.append(train_svm(x[own], np.where(y[own] == a, 1.0, -1.0)))
+            own = np.flatnonzero((y == a) | (y == b))
+            rows.append(train_svm(x, np.where(y[own] == a, 1.0, -1.0), rows=own))
         self.weights = np.array(rows, np.float32).reshape(len(rows), CELLS + 1)
 
     def _ready(self, x: np.ndarray) -> np.ndarray:
-        x = x * self.scale
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        return np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+        out = np.ones((len(x), CELLS + 1), np.float32)
+        for at in range(0, len(x), STEP):
+            v = x[at : at + STEP] * self.scale
+            out[at : at + STEP, :CELLS] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A learned language and a score from 0 to 1; ``und`` and 0 without a letter.
@@ -180,8 +194,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     # A task sends a repeated row once, the driver keeps one.
     got = {(r.lang, r.h): bytes(r.x) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary").toLocalIterator()}
-    x = np.frombuffer(b"".join(got[k] for k in sorted(got)), np.float16).reshape(-1, CELLS).astype(np.float32)
-    return LanguageModel([v for v, _ in sorted(got)], x)
+    keys = sorted(got)
+    x = np.empty((len(keys), CELLS), np.float16)
+    for i, k in enumerate(keys):
+        x[i] = np.frombuffer(got.pop(k), np.float16)
+    return LanguageModel([v for v, _ in keys], x)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

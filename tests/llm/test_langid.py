@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from ledgerloom.llm.langid import CELLS, LanguageModel, family_of, features, has_letter, identify, language_query, train, train_svm
@@ -80,3 +82,19 @@ def test_unlearned_languages_score_nothing(spark):
     assert [s for _, s in model.predict_all(foreign)] == [0.0] * 4
     own = [r.text for r in docs.where("lang is not null").collect() if has_letter(r.text)]
     assert min(s for _, s in model.predict_all(own)) > 0.1
+
+
+def test_training_takes_little_memory():
+    rng = np.random.default_rng(3)
+    x = rng.random((1500, CELLS), np.float32).astype(np.float16)
+    langs = [("en", "fr", "de")[i % 3] for i in range(len(x))]
+    tracemalloc.start()
+    model = LanguageModel(langs, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * x.size  # one copy in single precision and pieces
+    plain = x.astype(np.float32)
+    assert np.array_equal(model.scale, 1 / (plain.std(0) + 1e-4))
+    y = np.array(langs)
+    ready, own = model._ready(plain), y != "fr"
+    assert np.array_equal(model.weights[-1], train_svm(ready[own], np.where(y[own] == "de", 1.0, -1.0)))
