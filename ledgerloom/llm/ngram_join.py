@@ -4,7 +4,9 @@ How it stays linear where copies and shared passages abound:
 
 1. Every document becomes the set of 64-bit hashes of its distinct word
    shingles. A fixed-size table of shingle counts, taken over all documents,
-   orders shingles from rare to frequent.
+   orders shingles from rare to frequent. Its cells fill up as the input grows, so
+   shingles that are common in a part of the texts are named and come last:
+   otherwise shared passages would reach the prefixes and tie everything together.
 2. Two sets that reach the threshold share a shingle among their rarest
    ``n - ceil(t n) + 1`` (the prefix). Documents with the same size and prefix
    form one group.
@@ -20,7 +22,8 @@ How it stays linear where copies and shared passages abound:
 5. Components of those links, then the least doc_id of each.
 
 Equal texts (after lower-casing and splitting) count once from step 3 on.
-Nothing is dropped, capped or sampled. Hashes: texts by 128 bits throughout,
+Nothing is dropped or capped; the part of the texts that names common shingles
+decides the order alone, and any order gives the same links. Hashes: texts by 128 bits throughout,
 shingles by 64; a false link would need a collision of these.
 """
 
@@ -34,11 +37,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import Forest, narrow, pieces, stored, summed
+from ledgerloom.llm.common import Forest, as_int64, narrow, pieces, stored, summed
 from ledgerloom.operators.graph import connected_components
 
 #: Cells of the table of shingle counts (8 MB in a task, 1 MB of levels in a broadcast).
 CELL_BITS = 20
+#: One different text in PART tells which shingles are common: those that COMMON of its texts have, and of these
+#: the MOST commonest at most (9 MB in a broadcast). A shingle left out keeps its level, which costs time only.
+PART, COMMON, MOST = 8, 3, 1 << 20
+#: Levels of cells are below this one, ranks of common shingles from here to 255.
+RANKS = 240
 #: Cells of the bitmap that keeps texts without candidates from being read again (1 MB).
 SEEN_BITS = 23
 #: Texts of a block; a task holds two blocks.
@@ -88,7 +96,39 @@ def _text_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
+def _common(d: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the common shingles of ``d`` (text, hash) and their ranks from RANKS to 255, the commonest highest.
+
+    Equal texts count once. A rank is the binary logarithm of the count; from the
+    highest rank down, those ranks are taken whose shingles are MOST together at most.
+    """
+    texts = d.where(F.col("text").isNotNull() & (F.pmod("hash", F.lit(PART)) == 0)).dropDuplicates(["hash"]).select("text")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [shingle_hashes(words_of(t.as_py()), k) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([as_int64(np.concatenate(found))], ["token"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (token.astype(np.int64), rank.astype(np.uint8))], ["token", "rank"])
+
+    counts = texts.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
+    counts = stored(counts.select("token", F.least(F.lit(255), F.lit(RANKS) + F.floor(F.log2("c"))).cast("int").alias("rank")), "common")
+    lowest, total = 256, 0
+    for r in sorted(counts.groupBy("rank").count().collect(), reverse=True):  # 16 rows at most
+        total += r["count"]
+        if total > MOST:
+            break
+        lowest = r["rank"]
+    rows = [(bytes(r.token), bytes(r["rank"])) for r in counts.where(F.col("rank") >= lowest).mapInArrow(packed, "token binary, rank binary").toLocalIterator()]
+    token, rank = np.frombuffer(b"".join(x for x, _ in rows), np.uint64), np.frombuffer(b"".join(x for _, x in rows), np.uint8)
+    order = np.argsort(token)
+    return token[order], rank[order]
+
+
+def _prefixes(levels: np.ndarray, common: np.ndarray, ranks: np.ndarray, k: int, num: int, den: int):
     """Rows (doc_id, hash, key, n, gid, prefix, bits); the last two only where the task meets a group first.
 
     gid is 64 bits of the group's hash, to keep posting lists small. Groups that
@@ -112,7 +152,11 @@ def _prefixes(levels: np.ndarray, k: int, num: int, den: int):
                     bits.append(None)
                     continue
                 size = n - needed(n, num, den) + 1
-                order = (levels[_cells(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                level = levels[_cells(h)]
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    level = np.where(common[at] == h, ranks[at], level)
+                order = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 p = np.sort(h[np.argpartition(order, size - 1)[:size]] if size < n else h)
                 group = xxhash.xxh3_128_intdigest(p.tobytes(), seed=n)
                 gids.append((group & (1 << 64) - 1) - (1 << 63))
@@ -345,11 +389,11 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         return _cells(np.concatenate(found)) if found else np.empty(0, np.int64)
 
     counts = summed(texts, cells, CELL_BITS, "shingles")
-    levels = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(levels)
+    levels = np.minimum(RANKS - 1, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
+    shared = spark.sparkContext.broadcast((levels, *_common(d, k)))
 
     def prefixes(batches):
-        return _prefixes(shared.value, k, num, den)(batches)
+        return _prefixes(*shared.value, k, num, den)(batches)
 
     parts = stored(d.mapInArrow(prefixes, "doc_id long, hash long, key binary, n long, gid long, prefix array<long>, bits binary"), "prefixes")
     lists = parts.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "gid")

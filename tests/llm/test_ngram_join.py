@@ -104,3 +104,44 @@ def test_registered_query(spark):
     duckdb.sql(f"create or replace view documents as select * from '{d}/documents.parquet'")
     want = duckdb.sql(oracles.NGRAM_JOIN).fetchall()
     assert sorted(map(tuple, op10_ngram_join(spark, d).collect())) == sorted(want)
+
+
+def test_common_passage_ties_nothing_where_cells_are_crowded(spark, monkeypatch):
+    """On large inputs every cell of the count table is as full as any other."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(200)]
+        rows.append((i, " ".join(own[:100] + passage + own[100:])))
+    rows += [(240 + i, rows[i][1] + " and a few more") for i in range(5)]
+    real, counted = ngram_join.stored, {}
+
+    def noted(df, name):
+        out = real(df, name)
+        counted[name] = out.count()
+        return out
+
+    def flat(df, slots, bits, name):
+        return np.full(1 << bits, 900) if name == "shingles" else counts(df, slots, bits, name)
+
+    counts = ngram_join.summed
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    monkeypatch.setattr(ngram_join, "summed", flat)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_classes(docs).collect()}
+    assert found == brute(rows)
+    assert counted["members"] == 10  # the five linked pairs, not all 245 texts
+
+
+def test_common_shingles_count_equal_texts_once(spark):
+    rng = random.Random(6)
+    line = "one line that very many of the documents have in common"
+    rows = [(i, f"{line} {rng.random()} {rng.random()}") for i in range(400)] + [(1000 + i, "a text of which there are a lot of equal copies") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as hash")
+    common, ranks = ngram_join._common(docs, 5)
+    assert set(shingle_hashes(words_of(line)).tolist()) <= set(common.tolist())
+    assert not set(shingle_hashes(words_of(rows[-1][1])).tolist()) & set(common.tolist())
+    assert (np.diff(common.astype(object)) > 0).all() and ranks.min() >= ngram_join.RANKS
+    empty, none = ngram_join._common(docs.limit(0), 5)
+    assert len(empty) == len(none) == 0
