@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import free, narrow
+from ledgerloom.llm.common import free, narrow, streamed
 
 #: Trigram cells, and labelled documents that training uses at most (over all languages, evenly).
 CELLS, SAMPLE = 4096, 4000
@@ -193,7 +193,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
 
     # A task sends a repeated row once, the driver keeps one.
-    got = {(r.lang, r.h): bytes(r.x) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary").toLocalIterator()}
+    got = {(r.lang, r.h): bytes(r.x) for r in streamed(rows.select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, x binary"))}
     keys = sorted(got)
     x = np.empty((len(keys), CELLS), np.float16)
     for i, k in enumerate(keys):

@@ -24,7 +24,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import WORD, free, narrow
+from ledgerloom.llm.common import STREAMED, WORD, free, narrow, streamed
 from ledgerloom.storage import stored
 
 #: Blocks of a source, and parts that a block is cut into where only some of it is drawn.
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = stored(d.withColumns({"block": F.pmod("h", F.lit(BLOCKS)).cast("int"), "part": F.pmod(F.shiftright("h", 8), F.lit(PARTS)).cast("int")}), "sizes")
 
     sums: dict[str | None, np.ndarray] = {}
-    for r in d.groupBy("source", "block").agg(F.sum("size").alias("n")).toLocalIterator():
+    for r in streamed(d.groupBy("source", "block").agg(F.sum("size").alias("n"))):
         sums.setdefault(r.source, np.zeros(BLOCKS, np.int64))[r.block] = r.n
         if len(sums) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
@@ -173,7 +173,7 @@ def _cut_edges(d: DataFrame, plans: list[dict]) -> None:
     e = spark.createDataFrame(edges, "s string, b int, words long")
     rows = d.join(F.broadcast(e), d["source"].eqNullSafe(e["s"]) & (d["block"] == e["b"]))  # a row a source
     sums: dict = {}
-    for r in rows.groupBy("s", "part").agg(F.sum("size").alias("n")).toLocalIterator():
+    for r in streamed(rows.groupBy("s", "part").agg(F.sum("size").alias("n")), max(STREAMED, len(edges) * PARTS >> 19)):
         sums.setdefault(r.s, np.zeros(PARTS, np.int64))[r.part] = r.n
     parts = []
     for s, _, words in edges:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import Forest, as_int64, narrow, pieces, stored, summed
+from ledgerloom.llm.common import Forest, as_int64, marked, narrow, pieces, stored, summed
 from ledgerloom.operators.graph import connected_components
 
 #: Cells of the table of shingle counts (8 MB in a task, 1 MB of levels in a broadcast).
@@ -122,7 +122,7 @@ def _common(d: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         if total > MOST:
             break
         lowest = r["rank"]
-    rows = [(bytes(r.token), bytes(r["rank"])) for r in counts.where(F.col("rank") >= lowest).mapInArrow(packed, "token binary, rank binary").toLocalIterator()]
+    rows = [(bytes(r.token), bytes(r["rank"])) for r in counts.where(F.col("rank") >= lowest).mapInArrow(packed, "token binary, rank binary").collect()]  # MOST at most, packed
     token, rank = np.frombuffer(b"".join(x for x, _ in rows), np.uint64), np.frombuffer(b"".join(x for _, x in rows), np.uint8)
     order = np.argsort(token)
     return token[order], rank[order]
@@ -283,14 +283,14 @@ def _forest_rows(forest: Forest) -> pa.RecordBatch:
     return _pair_rows(pairs, True)
 
 
-def _sets_of(marked: np.ndarray, k: int):
+def _sets_of(marks: np.ndarray, k: int):
     """Rows (rep, key, words' set as bytes) of the documents that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = len(marked) * 8 - 1
+        mask = len(marks) * 8 - 1
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64) & mask
-            rows = np.flatnonzero(marked[ids >> 3] & (1 << (ids & 7)).astype(np.uint8))
+            rows = np.flatnonzero(marks[ids >> 3] & (1 << (ids & 7)).astype(np.uint8))
             out, held = [], 0
             for i in rows.tolist():
                 words = words_of(batch.column(1)[i].as_py())
@@ -417,8 +417,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     def slot(batch: pa.RecordBatch) -> np.ndarray:
         return np.asarray(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64) & ((1 << SEEN_BITS) - 1)
 
-    marked = np.packbits(summed(members.select("rep"), slot, SEEN_BITS, "marks") > 0, bitorder="little")
-    marks = spark.sparkContext.broadcast(marked)
+    marks = spark.sparkContext.broadcast(marked(members.select("rep"), slot, SEEN_BITS))
 
     def sets(batches):
         return _sets_of(marks.value, k)(batches)

@@ -254,7 +254,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     manifest has a row a file; their running total is the only global step.
     """
     spark = manifest.sparkSession
-    files = manifest.orderBy("part").select("part", "path", "size", "n_ids").toLocalIterator()
+    files = sorted(manifest.select("part", "path", "size", "n_ids").collect())
     rows, before = [], 0
     for f in files:
         rows.append((f.part, f.path, f.size, before))
