@@ -28,13 +28,18 @@ UNITS = "mm cm m km in inch inches ft foot feet yd yards mi mile miles mg g kg l
 #: Deleted characters; the sentence ends . ! ? are trimmed from words after they have served.
 DELETED = "\"'`,;:()[]{}<>|*#$%&_~^=+\\/«»“”‘’…–—-"
 
-_TRIM = ".!?"
+_SPACE = r"\x20\x09-\x0D"
+#: DELETED as a class. The wide ones stand inside a range, so that most characters are told by one comparison.
+_GONE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in DELETED if ord(c) < 256) + r"[\x{2013}-\x{2026}&&[" + "".join(f"\\x{{{ord(c):x}}}" for c in DELETED if ord(c) > 255) + "]]]"
+#: White space other than one blank, and sentence ends where a word begins or ends.
+_GAP = rf"[\x09-\x0D][{_SPACE}]*|\x20[{_SPACE}]+"
+_EDGE = r"[.!?]+(?![^\x20])|(?<![^\x20])[.!?]+"
 
 
 def _words(text: Column) -> Column:
-    """Words as written, digits as 0, a line's end as a sentence's."""
+    """The text's words as written, between single blanks; a line's end is a sentence's."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" . "))
-    return F.filter(F.split(F.translate(t, DELETED, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, _GONE, ""), _GAP, " "), F.lit(" "))
 
 
 def _need(n: Column) -> Column:
@@ -49,17 +54,20 @@ def _templates(df: DataFrame) -> DataFrame:
         name = (core != low) & (F.length(core) > 1) & (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (F.substr(core, F.lit(2)) == F.substr(low, F.lit(2)))
         return F.when(core.rlike("[0-9]"), "#num").when(low.isin(UNITS), "#unit").when(name, "#name").otherwise(low)
 
-    def token(kind: Column, i: Column) -> Column:
-        begins = (i == 0) | F.get("_w", i - 1).rlike(r"[.!?]$")
-        return F.struct(F.get("_l", i).alias("v"), F.when((kind == "#name") & begins, "#open").otherwise(kind).alias("k"))
+    def opening(kind: Column, before: Column) -> Column:
+        return F.when((kind == "#name") & before.rlike(r"[.!?]$"), "#open").otherwise(kind)
 
-    # One column a step: inside a lambda every use of a word would trim and lower it again.
+    # Trimmed and lowered as one text, which keeps its blanks: the three have a word at the same place.
+    # One column a step: inside a lambda every use of a word would be worked out again.
     kept = [c for c in df.columns if c != "text"]
-    df = df.withColumn("_w", _words(F.col("text"))).withColumn("_c", F.transform("_w", lambda w: F.btrim(w, F.lit(_TRIM)))).withColumn("_l", F.transform("_c", F.lower))
-    df = df.withColumn("_t", F.filter(F.transform(F.zip_with("_c", "_l", kind), token), lambda x: x["v"] != ""))
-    # Arrays of plain values: a field of an array of structs would be drawn out anew for every window.
-    pick = lambda f: F.transform("_t", f)
-    return df.select(*kept, pick(lambda x: x["v"]).alias("v"), pick(lambda x: F.when(x["k"] == "#open", x["v"]).otherwise(x["k"])).alias("t"), pick(lambda x: F.when(x["k"] == "#open", "#name").otherwise(x["k"])).alias("u"))
+    df = df.withColumn("_x", _words(F.col("text"))).withColumn("_y", F.regexp_replace("_x", _EDGE, ""))
+    df = df.withColumn("_l", F.split(F.lower("_y"), " "))
+    kinds = F.zip_with(F.split("_y", " "), "_l", kind)
+    kinds = F.slice(F.zip_with(kinds, F.concat(F.array(F.lit(".")), F.split("_x", " ")), opening), F.lit(1), F.size("_l"))
+    # A word of sentence ends only is empty here and there.
+    df = df.withColumn("_k", F.array_remove(kinds, "")).withColumn("_v", F.array_remove("_l", ""))
+    t = F.zip_with("_k", "_v", lambda k, v: F.when(k == "#open", v).otherwise(k))
+    return df.select(*kept, F.col("_v").alias("v"), t.alias("t"), F.transform("_k", lambda k: F.when(k == "#open", "#name").otherwise(k)).alias("u"))
 
 
 def _hashed(df: DataFrame, source: str, lengths: list[int], out: str) -> DataFrame:
