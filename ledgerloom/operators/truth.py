@@ -7,7 +7,9 @@ amendment names the filing that it amends.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ledgerloom.storage import stored
@@ -63,7 +65,8 @@ def aligned_by_amount(found: DataFrame, truth: DataFrame, tolerance: float = AMO
     """``entity, id, key``: greedy closest-first matches of amounts within tolerance, one to one.
 
     Candidates come from an equi-join on logarithmic buckets as wide as the
-    tolerance, each with its neighbours; only an entity's candidates meet in one task.
+    tolerance, each with its neighbours; only an entity's candidates meet in one task, which takes
+    them in order, entity after entity, and holds the matches of one.
     """
     width = math.log1p(tolerance) * 2
     bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1e-9))) / width)
@@ -71,19 +74,22 @@ def aligned_by_amount(found: DataFrame, truth: DataFrame, tolerance: float = AMO
     t = truth.select("entity", "key", F.col("amount").alias("true_amount")).withColumn("b", bucket("true_amount"))
     c = f.join(t, ["entity", "b"]).withColumn("off", F.abs(F.col("amount") - F.col("true_amount")) / F.abs(F.col("true_amount"))).where(F.col("off") <= tolerance)
 
-    def match(pdf):
-        import pandas as pd
-
-        ids, keys, out = set(), set(), []
-        for i, k in pdf.sort_values(["off", "key", "id"])[["id", "key"]].itertuples(index=False):
-            if i not in ids and k not in keys:
-                ids.add(i)
-                keys.add(k)
-                out.append((pdf["entity"].iloc[0], i, k))
-        return pd.DataFrame(out, columns=["entity", "id", "key"])
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, keys = None, set(), set()
+        for batch in batches:
+            kept = []
+            for n, (e, i, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if e != at:
+                    at, ids, keys = e, set(), set()
+                if i not in ids and k not in keys:
+                    ids.add(i)
+                    keys.add(k)
+                    kept.append(n)
+            yield batch.select([0, 1, 2]).take(pa.array(kept, pa.int64()))
 
     kinds = {x.name: x.dataType.simpleString() for x in found.schema}
-    return c.select("entity", "id", "key", "off").groupBy("entity").applyInPandas(match, f"entity {kinds['entity']}, id {kinds['id']}, key {truth.schema['key'].dataType.simpleString()}")
+    c = c.select("entity", "id", "key", "off").repartition("entity").sortWithinPartitions("entity", "off", "key", "id")
+    return c.mapInArrow(match, f"entity {kinds['entity']}, id {kinds['id']}, key {truth.schema['key'].dataType.simpleString()}")
 
 
 def close_amounts(rounds: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
