@@ -15,9 +15,9 @@ def coverage(mentions: DataFrame) -> DataFrame:
 
 
 def coverage_matrix(cover: DataFrame) -> DataFrame:
-    """A row a record and attribute, a 0/1 column a class."""
-    m = cover.groupBy("record", "attribute").pivot("source_class", CLASSES).agg(F.count(F.lit(1)))
-    return m.select("record", "attribute", *(F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in CLASSES))
+    """A row a record and attribute, a 0/1 column a class; rows may be repeated."""
+    held = lambda c: F.coalesce(F.max((F.col("source_class") == c).cast("int")), F.lit(0)).alias(c)
+    return cover.groupBy("record", "attribute").agg(*map(held, CLASSES))
 
 
 def cases(cover: DataFrame) -> DataFrame:

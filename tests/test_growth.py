@@ -68,3 +68,12 @@ def test_texts_of_other_cells_do_not_meet(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([((c, i), text, c) for c in (1, 2) for i in range(3)], "id struct<cell: long, id: long>, text string, cell long")
     assert {(r.a.cell, r.b.cell) for r in P.similar_pairs(docs, within="cell").collect()} == {(1, 1), (2, 2)}
+
+
+def test_coverage_matrix_needs_one_aggregation(spark):
+    from ledgerloom.operators import fragments
+
+    m = spark.createDataFrame([("r", "a", "news"), ("r", "a", "news"), ("r", "a", "vendor"), ("r", "b", None)], "record string, attribute string, source_class string")
+    got = fragments.coverage_matrix(m)
+    assert _plan(got).count("Aggregate") == 1
+    assert {r.attribute: (r.news, r.vendor, r.other) for r in got.collect()} == {"a": (1, 1, 0), "b": (0, 0, 0)}
